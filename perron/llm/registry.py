@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from perron.llm.langid import op10_langid
 from perron.llm.minhash import op8_minhash
 from perron.llm.mixing import op2_mixing
+from perron.llm.packing import op6_packing
 from perron.llm.pii import op3_pii
 from perron.llm.quality import op9_quality
 from perron.llm.sharding import op1_sharding
+from perron.llm.warc import op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_mixing": op2_mixing,
         "op3_pii": op3_pii,
+        "op6_packing": op6_packing,
+        "op7_warc": op7_warc,
         "op8_minhash": op8_minhash,
         "op9_quality": op9_quality,
+        "op10_langid": op10_langid,
     }
 
 
