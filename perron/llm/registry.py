@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from perron.llm.ann import op5_ann
+from perron.llm.html import op4_html
 from perron.llm.langid import op10_langid
 from perron.llm.minhash import op8_minhash
 from perron.llm.mixing import op2_mixing
@@ -21,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_mixing": op2_mixing,
         "op3_pii": op3_pii,
+        "op4_html": op4_html,
+        "op5_ann": op5_ann,
         "op6_packing": op6_packing,
         "op7_warc": op7_warc,
         "op8_minhash": op8_minhash,
