@@ -1,0 +1,18 @@
+"""A filter that stays above the projection it reads."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def filter_late(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.where(condition)`` on computed columns without computing them again.
+
+    Catalyst pushes a filter below a projection by writing the projection's expressions into it, so
+    a costly column is computed once for the filter (once for every mention) and once more for its
+    value. A filter is not pushed below a projection that holds a non-deterministic column; the row
+    number added here is that column, and dropped above.
+    """
+    row = "_late_row"
+    return df.withColumn(row, F.monotonically_increasing_id()).where(condition & (F.col(row) >= 0)).drop(row)
