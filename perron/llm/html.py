@@ -339,12 +339,16 @@ def composed_page(rng: random.Random) -> tuple[str, list[str]]:
             said.append(text)
             out.append(f"<{tag}>{inner or text}" + ("" if tag == "p" and rng.random() < 0.2 else f"</{tag}>"))
 
+        if rng.random() < 0.15:
+            tiny = rng.randint(1, 3)
+        else:
+            tiny = 0
         if rng.random() < 0.85:
             put("h1", pick((words(2, 9).capitalize(), sentence())))
         for _ in range(rng.randint(1, 9)):
             kind = rng.random()
             if kind < 0.65:
-                text = pick((paragraph, sentence, paragraph))()
+                text = pick((paragraph, sentence, paragraph))() if not tiny else pick((paragraph(), sentence(1, tiny)))
                 first, _, rest = text.partition(" ")
                 put("p", text, pick((text, text, f"<b>{first}</b> {rest}", f"<b>{text}<br>", f'{first} <a href="#">{rest}</a>' if len(rest) < 60 else text)))
             elif kind < 0.75:
@@ -365,8 +369,8 @@ def composed_page(rng: random.Random) -> tuple[str, list[str]]:
                 out.append("</tr></table>")
             elif said:
                 out.append(f'<div class="{pick(("ad", "advert", "ads-inline", "promo"))}">{sentence()}</div>')
-        if not said:
-            put("p", paragraph())
+        if not said or tiny:
+            put("p", sentence(1, tiny) if said else paragraph())
         return "".join(out)
 
     other = {

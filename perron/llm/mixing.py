@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perron.operators.prefix import prefix_sums
+from perron.plans.late import filter_late
 from perron.staging import stage
 
 #: 2**32 / golden ratio, odd: j * STEP mod 2**32 is the golden-ratio sequence on a 32-bit circle.
@@ -175,7 +176,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     words is kept once."""
     columns = docs.columns
     times = F.expr("if(_size = 0, 1, cast((2 * _taken + _size) div (2 * _size) as int))")
-    return mix(docs, **options).withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
+    counted = filter_late(mix(docs, **options).select(*columns, times.alias("_times")), F.col("_times") > 0)
+    return counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

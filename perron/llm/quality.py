@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perron.plans.late import filter_late
 from perron.staging import stage
 
 # Frequent function words of English, German, French and Spanish, in that order.
@@ -170,7 +171,7 @@ def verdicts(df: DataFrame, refs: References) -> DataFrame:
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    return judge(docs).where("q_kept").select(*docs.columns)
+    return filter_late(judge(docs), F.col("q_kept")).select(*docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
