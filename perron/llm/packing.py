@@ -33,6 +33,18 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def lowered(texts: pa.Array) -> pa.Array:
+    """Texts (large strings without nulls) with A-Z in lower case, all other bytes as they are."""
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] else np.zeros(0, np.uint8)
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(_LOWER[data]))
+
+
 class WordTokenizer:
     """Ids of texts, word by word.
 
@@ -65,7 +77,7 @@ class WordTokenizer:
         # The vocabulary is lower-case and parts letters from punctuation: doing both first leaves fewer different words.
         # Its special tokens are found before that, so they must stay as they are.
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
-            texts = pc.ascii_lower(texts)
+            texts = lowered(texts)
         texts = pc.replace_substring_regex(texts, "([A-Za-z])([.,;:!?])", "\\1 \\2")
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
