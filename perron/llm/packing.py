@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -96,6 +97,12 @@ class WordTokenizer:
         return ids, np.concatenate(([0], after[last])) if len(ends) else np.zeros(1, np.int64)
 
 
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer, with the words it remembers, for all tasks of a worker."""
+    return WordTokenizer(path)
+
+
 class OpenBins:
     """A bounded number of open sequences, by free space."""
 
@@ -146,10 +153,9 @@ def pack(docs: DataFrame, length: int = LENGTH, most_open: int = OPEN, vocabular
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer = None
         bins = OpenBins(length, most_open, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33)
         for batch in batches:
-            tokenizer = tokenizer or WordTokenizer(path)
+            tokenizer = tokenizer_of(path)
             rows = max(1, int(batch.num_rows * min(1, SLICE_BYTES / max(1, batch.column(1).nbytes))))
             for lo in range(0, batch.num_rows, rows):
                 part = batch.slice(lo, rows)
