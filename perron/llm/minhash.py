@@ -5,11 +5,14 @@ shifted circularly by 0, 1, 2, ..., gives every coordinate of the signature, so
 are a contiguous slice of pi. Bands of the signature propose pairs; pairs are confirmed on whole
 shingle sets.
 
-No bucket is expanded into all of its pairs at once. In every round a bucket's members in different
-components are compared with a few pivots only; members that got linked leave the question, and
-pivots, compared with everybody, leave the bucket. Rounds go on, with more pivots each, until no
-bucket holds an untested pair between different components: the components then equal those of all
-proposed pairs, and no bucket is capped.
+No bucket is expanded into all of its pairs at once. First come light rounds, in which a document
+meets one pivot only: of the pivots of its buckets (the member that shares most buckets with
+others) the best one that is not yet linked with it. That joins up most groups. What is left are a
+bucket's members outside of its largest component: a bounded number of them each round meets all
+others of the bucket, and leaves it. Rounds go on, with more of them each, until no bucket holds an
+untested pair between different components: the components then equal those of all proposed pairs,
+and no bucket is capped. In these rounds the join itself drops pairs whose bitmaps show that their
+sets cannot reach the threshold (an exact bound), so only few sets are compared.
 """
 
 from __future__ import annotations
@@ -30,6 +33,11 @@ BANDS = 40
 ROWS = 6
 #: Rows of sets that a slice copies at once: bounds the memory for very long documents.
 SLICE_ROWS = 2048
+LIGHT_ROUNDS = 3
+#: Longs of the bitmaps that rule out pairs before their sets are compared.
+MAP_LONGS = 32
+#: Pivots of a bucket in the first round after the light ones.
+FIRST_PIVOTS = 32
 
 _tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
@@ -90,15 +98,37 @@ def signed(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, node binary, n long, keys array<long>")
 
 
+def bitmaps(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows of MAP_LONGS longs with a bit for every place (by hash) that a set's shingles take."""
+    out = np.zeros((len(offsets) - 1, MAP_LONGS), dtype=np.uint64)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    np.bitwise_or.at(out, (row, ((sets >> np.uint64(6)) % np.uint64(MAP_LONGS)).astype(np.int64)), np.uint64(1) << (sets & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def may_link(percent: int) -> str:
+    """SQL condition on rows x and p (n, bits, excess) that every pair at the threshold meets.
+
+    A place that both sets take holds at least one shingle of each, and a set has ``excess`` more
+    shingles than places, so the intersection has at most as many shingles as common places plus
+    the smaller excess.
+    """
+    common = " + ".join(f"bit_count(x.bits[{i}] & p.bits[{i}])" for i in range(MAP_LONGS))
+    return f"{100 + percent} * ({common} + least(x.excess, p.excess)) >= {percent} * (x.n + p.n)"
+
+
 def shingle_sets(docs: DataFrame, ngram: int) -> DataFrame:
-    """(node, shingles) of documents; one row per document."""
+    """(node, shingles, bits, excess) of documents; one row per document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets, offsets in _each(batches, ngram):
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(set_hashes(sets, offsets), pa.binary()), lists], names=["node", "shingles"])
+            places = bitmaps(sets, offsets)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(places) + 1, dtype=np.int32) * MAP_LONGS), pa.array(places.ravel()))
+            excess = np.diff(offsets) - np.bitwise_count(places.view(np.uint64)).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(set_hashes(sets, offsets), pa.binary()), lists, bits, pa.array(excess)], names=["node", "shingles", "bits", "excess"])
 
-    return docs.select("text").mapInArrow(work, "node binary, shingles array<long>")
+    return docs.select("text").mapInArrow(work, "node binary, shingles array<long>, bits array<long>, excess long")
 
 
 def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -128,7 +158,8 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, bands: i
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
     sets = stage(shingle_sets(texts, ngram).where("node IS NOT NULL").dropDuplicates(["node"]), "sets")
 
-    edges, components, pivots = None, None, 1
+    edges = components = asked = None
+    light, pivots = LIGHT_ROUNDS, FIRST_PIVOTS
     while True:
         # Members of a bucket, with their component; buckets within one component are done.
         if components is not None:
@@ -137,36 +168,49 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, bands: i
             buckets = buckets.withColumn("component", F.col("node"))
         open_ = buckets.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
         buckets = stage(buckets.join(open_, "key"), "open")
-        if pivots == 1:
-            best = buckets.groupBy("key").agg(F.max_by(F.struct("node", "n", "component"), F.struct("degree", "node")).alias("p")).select("key", "p.*")
+        if light:
+            best = buckets.groupBy("key").agg(F.max_by(F.struct("node", "n", "degree", "component"), F.struct("degree", "node")).alias("p")).select("key", "p.*")
         else:
+            if "bits" not in buckets.columns:
+                buckets = stage(buckets.join(sets.select("node", "bits", "excess"), "node"), "open")
             order = Window.partitionBy("key").orderBy(F.desc("degree"), F.desc("node"))
-            best = buckets.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pivots).select("key", "node", "n", "component")
+            sizes = buckets.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_c"))
+            main = sizes.groupBy("key").agg(F.max_by("component", F.struct("_c", "component")).alias("_main"))
+            outside = buckets.join(main, "key").where("component <> _main").drop("_main")
+            best = outside.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pivots).drop("_r")
         best = stage(best, "pivots")
+        # Part of the join, so that a pair that cannot link is never a row.
+        possible = f"100 * least(x.n, p.n) >= {percent} * greatest(x.n, p.n)" + ("" if light else f" AND {may_link(percent)}")
         ask = (
             buckets.alias("x")
-            .join(best.alias("p"), "key")
-            .where("x.component <> p.component AND x.node <> p.node")
-            .where(f"100 * least(x.n, p.n) >= {percent} * greatest(x.n, p.n)")
-            .select(F.least("x.node", "p.node").alias("a"), F.greatest("x.node", "p.node").alias("b"))
-            .distinct()
+            .join(best.alias("p"), F.expr(f"x.key = p.key AND x.component <> p.component AND x.node <> p.node AND {possible}"))
+            .select(F.col("x.node").alias("x"), F.col("p.degree").alias("degree"), F.least("x.node", "p.node").alias("a"), F.greatest("x.node", "p.node").alias("b"))
         )
-        linked = (
+        if asked is not None:
+            ask = ask.join(asked, ["a", "b"], "left_anti")
+        if light:
+            ask = ask.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("degree", "a", "b")).alias("p")).select("p.a", "p.b")
+        ask = stage(ask.select("a", "b").distinct(), "asked")
+        linked = stage(
             ask.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("u")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("v")), "b")
             .select("a", "b", F.size(F.array_intersect("u", "v")).alias("i"), (F.size("u") + F.size("v")).alias("s"))
             .where(f"100 * i >= {percent} * (s - i)")
-            .select("a", "b")
+            .select("a", "b"),
+            "links",
         )
-        linked = stage(linked, "links")
-        edges = linked if edges is None else stage(edges.union(linked), "links")
-        # Pivots have met everybody of their bucket.
-        buckets = buckets.join(best.select("key", "node"), ["key", "node"], "left_anti")
+        asked = ask if asked is None else asked.union(ask)
+        edges = linked if edges is None else edges.union(linked)
         if linked.limit(1).count():
             components = connected_components(edges)
+        if light:
+            light = light - 1 if ask.limit(1).count() else 0
+            continue
+        # Pivots have met everybody of their bucket.
+        buckets = buckets.join(best.select("key", "node"), ["key", "node"], "left_anti")
         if not buckets.limit(1).count():
             break
-        pivots = 8 if pivots == 1 else pivots * 4
+        pivots *= 4
 
     labels = nodes.select("node", "id")
     if components is not None:
