@@ -21,3 +21,15 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g")
         .config("spark.driver.host", os.environ.get("SPARK_LOCAL_IP", "127.0.0.1"))
         .getOrCreate()
     )
+
+
+def bound_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's rows per Arrow batch to at most ``rows``.
+
+    Spark's default of 10,000 rows of text takes hundreds of MB of direct memory in an executor,
+    which its Python workers then lack. The setting changes no result and stays for the session.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
