@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from perron.session import bound_arrow_batches
+
 # HTML element names by how the parser treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template title svg iframe object head math canvas audio video".split())
@@ -464,6 +466,7 @@ def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
     """
     own = [c for c in pages.columns if c not in (column, "text", "n_chars")]
     schema = pages.select(*own).schema.add("text", "string").add("n_chars", "long")
+    bound_arrow_batches(pages.sparkSession)
     w = weights()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perron.session import bound_arrow_batches
+
 DIMENSIONS = 512
 NGRAM = 3
 #: Letters have ids 1 to LETTERS - 1 (by code point, modulo); 0 is everything between words.
@@ -90,6 +92,7 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                     sums[lang] += v / n
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
+    bound_arrow_batches(docs.sparkSession)
     parts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(work, "lang string, v array<double>")
     rows = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
     rows = rows.limit(MAX_LANGUAGES + 1).collect()
@@ -127,6 +130,7 @@ def identify(docs: DataFrame, languages: list[str], profiles: np.ndarray) -> Dat
                 scores.append(float(min(1.0, max(0.0, cosines[best]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=names)
 
+    bound_arrow_batches(docs.sparkSession)
     return docs.select(*own).mapInArrow(work, schema)
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from perron.llm.textkernel import chunks, mixed, shingles, word_hashes
 from perron.operators.components import connected_components
+from perron.session import bound_arrow_batches
 from perron.staging import stage
 
 CIRCLE_BITS = 21
@@ -143,6 +144,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, bands: i
 
     A pair at the threshold is proposed by 40 bands of 6 with probability 1 - 6e-6.
     """
+    bound_arrow_batches(docs.sparkSession)
     sig = stage(signed(docs, ngram, bands, rows), "signatures")
     nodes = stage(
         sig.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.min_by("keys", "doc_id").alias("keys")),

@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perron.session import bound_arrow_batches
+
 LENGTH = 4096
 OPEN = 1024
 END_ID = 1
@@ -147,6 +149,7 @@ def pack(docs: DataFrame, length: int = LENGTH, most_open: int = OPEN, vocabular
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
+    bound_arrow_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 

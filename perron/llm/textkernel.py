@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once (a longer document is a chunk of its own).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,7 +98,7 @@ def shingles(h: np.ndarray, row: np.ndarray, rows: int, k: int) -> tuple[np.ndar
         g, r = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
-        extra = [mixed(np.sum(h[starts[i] : starts[i + 1]] * _STEPS[: counts[i]], dtype=np.uint64, keepdims=True) + _STEPS[63] * np.uint64(counts[i]))[0] for i in short]
+        extra = [mixed(np.sum(h[starts[i] : starts[i + 1]] * _STEPS[: counts[i]], dtype=np.uint64, keepdims=True) + _STEPS[63:] * np.uint64(counts[i]))[0] for i in short]
         g, r = np.append(g, np.array(extra, dtype=np.uint64)), np.append(r, short)
     order = np.lexsort((g, r))
     g, r = g[order], r[order]

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perron.session import bound_arrow_batches
 from perron.staging import stage
 
 #: Bytes of records after which an archive is closed (a larger record is an archive of its own).
@@ -188,6 +189,7 @@ def archive_pages(pages: DataFrame, date: str = "20260101000000", version: int =
     html is an empty payload, null url is "-", a null page_id has no part in the comparison (always
     a response). Other columns are ignored; an empty table gives no archives.
     """
+    bound_arrow_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     keyed = base.withColumn("_size", F.octet_length("payload")).withColumn("_digest", F.sha2("payload", 256))
