@@ -180,4 +180,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Counts are written once, without the texts: the references and the verdicts both come from them.
     counted = stage(with_counts(docs).drop("text"), "quality-counts")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
-    return verdicts(counted, references_of(counted)).select("doc_id", *[F.col(f"q_{n}").alias(n) for n in names])
+    judged = verdicts(counted, references_of(counted)).select("doc_id", *[F.col(f"q_{n}").alias(n) for n in names])
+    # Verdicts come from the full distances; shown are six places.
+    return judged.withColumns({n: F.round(n, 6) for n in ("class_distance", "word_distance")})

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from perron.llm import sql
 from perron.llm.ann import op5_ann
 from perron.llm.html import op4_html
 from perron.llm.langid import op10_langid
@@ -34,4 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_sharding": sql.sharding(),
+        "op7_warc": sql.archives(),
+        "op8_minhash": sql.near_duplicates(),
+        "op9_quality": sql.quality(),
+    }
