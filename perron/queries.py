@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perron.functions.transit import DAYS, gtfs_time_ms, trips_per_year
-from perron.operators import clustering, network, raptor
+from perron.operators import calendar, clustering, network, patterns, raptor
 from perron.operators.components import connected_components
 from perron.operators.prefix import prefix_sums
 from perron.sources.events_timetable import EVENT_TYPES, events_timetable
@@ -188,6 +188,26 @@ def dbscan_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clustering.dbscan(events_timetable(spark, d).stops, 0.015, 4)
 
 
+def optics_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.optics(events_timetable(spark, d).stops, 1200.0, 5, 10)
+
+
+def service_days(spark: SparkSession, d: str) -> DataFrame:
+    return calendar.service_days(events_timetable(spark, d).services, "2023-12-28", "2024-01-10")
+
+
+def dated_stop_times(spark: SparkSession, d: str) -> DataFrame:
+    t = events_timetable(spark, d)
+    return calendar.dated_stop_times(t.stop_times, t.trips, t.services, "2024-01-01", "2024-01-03")
+
+
+def pattern_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    t = events_timetable(spark, d)
+    walks = network.walk_edges(t.stops)
+    found = raptor.transfer_patterns(raptor.earliest_arrivals(t.stop_times, walks, _origins(spark)))
+    return patterns.pattern_arrivals(found, t.stop_times, walks, _origins(spark).withColumnRenamed("stop_id", "start"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -195,6 +215,7 @@ QUERIES: dict[str, Query] = {
         walk_edges, used_stops, line_geometry, hops, long_distance_stations, border_stations, stop_adjacency_weighted, service_trips_per_year, merge_score_top1,
         cluster_sub_timetable, dataset_stats, earliest_arrival_k2, earliest_arrival_all, earliest_arrival_to, latest_departure, range_all, range_departures, range_json,
         transfer_patterns, transfer_pattern_graph, long_walk_components, kmeans_clusters, gaussian_clusters, dbscan_clusters,
+        optics_clusters, service_days, dated_stop_times, pattern_arrivals,
     )
 }
 
@@ -240,6 +261,12 @@ def oracle_sql() -> dict[str, str]:
         f1 AS ({least.format(x="FROM r1 UNION ALL FROM w1")}), a1 AS ({least.format(x="FROM b1 UNION ALL FROM w1")}),
         r2 AS ({better.format(x=ride.format(f="f1"), b="a1")}), b2 AS ({least.format(x="FROM a1 UNION ALL FROM r2")}), w2 AS ({better.format(x=walk.format(r="r2"), b="b2")}),
         a2 AS ({least.format(x="FROM b2 UNION ALL FROM w2")})"""
+    running = f"""sd AS (SELECT service_id, CAST(day AS DATE) AS date FROM services, generate_series(DATE '{{}}', DATE '{{}}', INTERVAL 1 DAY) g(day)
+        WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-12-31' AND [{", ".join(DAYS)}][isodow(day)])"""
+    dense = f"""near AS (SELECT * FROM (SELECT a.stop_id AS a, b.stop_id AS b, {hav.format(a='a.', b='b.')} AS m FROM stops a JOIN stops b ON a.stop_id <> b.stop_id) WHERE m <= 1200),
+        core AS (SELECT a FROM near GROUP BY a HAVING count(*) + 1 >= 5), link AS (SELECT a, b FROM near SEMI JOIN core USING (a) WHERE b IN (SELECT a FROM core)),
+        r AS (SELECT a AS node, a AS reach FROM core UNION SELECT r.node, link.b FROM r JOIN link ON link.a = r.reach), comp AS (SELECT node, min(reach) AS c FROM r GROUP BY 1),
+        mem AS (SELECT node AS stop_id, c FROM comp UNION ALL SELECT b, c FROM (SELECT b, arg_min(a, trunc(m * 1000) * 1000 + a) AS node FROM near WHERE a IN (FROM core) AND b NOT IN (FROM core) GROUP BY b) JOIN comp USING (node))"""
     cl = "cl AS (SELECT stop_id, CAST(stop_id // 25 AS INTEGER) AS cluster_id FROM stops)"
     return {
         "timetable_stop_times": f"{many} SELECT * FROM st",
@@ -264,6 +291,9 @@ def oracle_sql() -> dict[str, str]:
         "cluster_sub_timetable": f"{many}, {cl}, s AS (SELECT * FROM st JOIN cl USING (stop_id)), t AS (SELECT DISTINCT cluster_id, trip_id FROM s), v AS (SELECT cluster_id, service_id FROM t JOIN trips USING (trip_id)) SELECT * FROM (SELECT cluster_id, count(*) AS n_stop_times FROM s GROUP BY 1) JOIN (SELECT cluster_id, count(*) AS n_trips, count(DISTINCT service_id) AS n_services FROM v GROUP BY 1) USING (cluster_id)",
         "dataset_stats": f"{many}, {cl} SELECT 'stops' AS what, count(*) AS n FROM cl UNION ALL SELECT 'clusters', count(DISTINCT cluster_id) FROM cl UNION ALL SELECT 'trips', count(*) FROM trips",
         "earliest_arrival_k2": f"{many}, {ea2} SELECT query_id, stop_id, tau FROM a2",
+        "service_days": f"{many}, {running.format('2023-12-28', '2024-01-10')} SELECT * FROM sd",
+        "dated_stop_times": f"{many}, {running.format('2024-01-01', '2024-01-03')} SELECT trip_id * 100000 + date_diff('day', DATE '1970-01-01', date) AS trip_id, stop_id, stop_sequence, arrival_time + epoch_ms(date::TIMESTAMP) AS arrival_time, departure_time + epoch_ms(date::TIMESTAMP) AS departure_time FROM st JOIN trips USING (trip_id) JOIN sd USING (service_id)",
+        "optics_clusters": f"{many}, {dense} SELECT stop_id, CAST(coalesce(c, -1) AS INTEGER) AS cluster_id FROM stops LEFT JOIN (SELECT * FROM mem WHERE c IN (SELECT c FROM mem GROUP BY 1 HAVING count(*) >= 10)) USING (stop_id)",
         "range_departures": f"{many} SELECT DISTINCT departure_time + 1000 AS tau FROM st WHERE stop_id = 37 AND departure_time BETWEEN {AT} AND {AT} + 3600000",
         "long_walk_components": f"{many}, {walks}, w AS (SELECT from_stop AS a, to_stop AS b FROM walks WHERE duration_ms <= 400000), c AS (SELECT a AS node, a AS reach FROM w UNION SELECT c.node, w.b FROM c JOIN w ON w.a = c.reach) SELECT node, min(reach) AS component FROM c GROUP BY 1",
     }
