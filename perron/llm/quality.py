@@ -2,8 +2,9 @@
 divergence of a document's histograms from those of its closest language.
 
 All of it is Spark SQL. The language references are histograms over all documents of a language
-(one row per language); a document is compared by Jensen-Shannon distance, and short documents are
-not judged by it.
+(one row per language); a document is compared by Jensen-Shannon distance. Short documents are not
+judged by it, nor are those of a language without a reference (or of none): far from the other
+languages says nothing about them.
 """
 
 from __future__ import annotations
@@ -102,11 +103,11 @@ def with_counts(docs: DataFrame, repeats: bool = True) -> DataFrame:
     return df.drop("q_words", "q_code", "q_upper", "q_digit", "q_punct", "q_nonascii")
 
 
-References = list[tuple[list[float], list[float]]]
+References = list[tuple[str, list[float], list[float]]]
 
 
 def language_references(docs: DataFrame) -> References:
-    """The class and common-word histograms (shares) of each language, over all of its documents.
+    """Each language with its class and common-word histograms (shares), over all of its documents.
 
     Documents without lang or text add nothing; languages with under MIN_REFERENCE_CHARS characters
     give no reference. One row per language reaches the driver; over MAX_LANGUAGES is an error.
@@ -125,7 +126,7 @@ def references_of(counted: DataFrame) -> References:
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     share = lambda x: [v / max(sum(x), 1.0) for v in x]
-    return [(share(r["a"]), share(r["b"])) for r in sorted(rows, key=lambda r: r["lang"])]
+    return [(r["lang"], share(r["a"]), share(r["b"])) for r in sorted(rows, key=lambda r: r["lang"])]
 
 
 def shares(counts: str) -> Column:
@@ -146,11 +147,12 @@ def judge(docs: DataFrame, references: References | None = None) -> DataFrame:
     """``docs`` with the counts, ``q_base_failed``, the two distances and ``q_kept``.
 
     The base rules reject documents of under MIN_WORDS words or with over MAX_REPEAT_PERCENT of
-    their words in repeated windows (so null and empty texts). Beyond that a document is rejected if
-    its smallest distance over the languages is over MAX_CLASS_DISTANCE (texts of MIN_CLASS_CHARS
-    or more) or MAX_WORD_DISTANCE (MIN_WORD_WORDS or more). With no reference (an empty or tiny
-    corpus, no lang) only the base rules count. Rows are judged one by one: repeats, other columns
-    and ties make no difference; columns named ``q_...`` are replaced.
+    their words in repeated windows (so null and empty texts). Beyond that a document whose own
+    language has a reference is rejected if its smallest distance over the languages is over
+    MAX_CLASS_DISTANCE (texts of MIN_CLASS_CHARS or more) or MAX_WORD_DISTANCE (MIN_WORD_WORDS or
+    more). Where it has none (lang null, or under MIN_REFERENCE_CHARS characters in all) the
+    distances are given, but undecided, and only the base rules count. Rows are judged one by one:
+    repeats, other columns and ties make no difference; columns named ``q_...`` are replaced.
     """
     own = [c for c in docs.columns if not c.startswith("q_")]
     refs = language_references(docs) if references is None else references
@@ -161,12 +163,13 @@ def verdicts(df: DataFrame, refs: References) -> DataFrame:
     """The verdict columns from the columns that ``with_counts`` adds."""
     df = df.withColumns({"q_p_classes": shares("q_classes"), "q_p_common": shares("q_common")})
     far = lambda column, i: F.least(*[js_distance(column, r[i]) for r in refs], F.lit(1.0)) if refs else F.lit(0.0)
-    df = df.withColumns({"q_class_distance": far("q_p_classes", 0), "q_word_distance": far("q_p_common", 1)})
+    df = df.withColumns({"q_class_distance": far("q_p_classes", 1), "q_word_distance": far("q_p_common", 2)})
     df = df.withColumn("q_base_failed", (F.col("q_n_words") < MIN_WORDS) | (F.col("q_n_repeat_words") * 100 > F.col("q_n_words") * MAX_REPEAT_PERCENT))
     odd = ((F.col("q_chars") >= MIN_CLASS_CHARS) & (F.col("q_class_distance") > MAX_CLASS_DISTANCE)) | (
         (F.col("q_n_words") >= MIN_WORD_WORDS) & (F.col("q_word_distance") > MAX_WORD_DISTANCE)
     )
-    return df.withColumn("q_kept", ~F.col("q_base_failed") & ~odd)
+    known = F.coalesce(F.col("lang").isin([r[0] for r in refs]), F.lit(False))
+    return df.withColumn("q_kept", ~F.col("q_base_failed") & ~(known & odd))
 
 
 def good_documents(docs: DataFrame) -> DataFrame:

@@ -166,6 +166,17 @@ def test_quality(odd, docs):
     assert quality.good_documents(odd.limit(0)).count() == 0
 
 
+def test_quality_rare_language(spark):
+    """Clean documents of a language too small for a reference, or of none, beside a large one."""
+    large = [" ".join(f"{quality.COMMON_WORDS[i % 8]} w{d}x{i}" for i in range(200)) for d in range(20)]
+    other = " ".join(f"{quality.COMMON_WORDS[8 + i % 8]} z{i}" for i in range(200))
+    rows = [(i, t, "en") for i, t in enumerate(large)] + [(100, other, "de"), (101, other, None), (102, other, "en"), (103, "too short", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["q_kept"] for r in quality.judge(docs).collect()}
+    assert len(quality.language_references(docs)) == 1
+    assert kept == dict.fromkeys(range(20), True) | {100: True, 101: True, 102: False, 103: False}
+
+
 def test_langid(docs, odd):
     languages, profiles = langid.prototypes(docs)
     rows = langid.identify(docs, languages, profiles).collect()
