@@ -69,13 +69,17 @@ def source_targets(sizes: DataFrame, pattern: tuple[int, ...] = (1, 2, 3), most:
 
 
 def slot_plan(targets: DataFrame, slots: int = 1 << 20, block: int = 4096) -> tuple[DataFrame, int]:
-    """Slots per source: ``(source, slots)`` and the words of a block.
+    """Slots per source: ``(source, slots, rest)`` and the words of a block.
 
     There are at least ``slots`` slots unless the words are fewer, and a block has at most
-    ``block`` words, so the number of slots grows with the corpus.
+    ``block`` words, so the number of slots grows with the corpus. ``rest`` is what the slots'
+    whole blocks leave of the source's target, in words: a partial block of its own for a source
+    with too few slots or none, and negative, a last block cut short, for one with too many.
     """
     schedule, length = schedule_slots(targets, slots, block)
-    return schedule.groupBy("source").agg(F.count(F.lit(1)).alias("slots")), length
+    counts = schedule.groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
+    found = targets.alias("t").join(counts.alias("c"), F.expr("t.source <=> c.source"), "left").select("t.source", "t.target", F.coalesce("c.slots", F.lit(0)).alias("slots"))
+    return found.select("source", "slots", (F.round("target").cast("long") - F.col("slots") * length).alias("rest")), length
 
 
 def schedule_slots(targets: DataFrame, slots: int = 1 << 20, block: int = 4096) -> tuple[DataFrame, int]:
@@ -122,8 +126,9 @@ def mix(docs: DataFrame, pattern: tuple[int, ...] = (1, 2, 3), most: int = 3, sl
     Adds ``_size``, ``_source_size``, ``_target`` and ``_taken``; input columns that already have
     one of these names are replaced. Order within a source: hash of (doc_id, text), then doc_id;
     rows equal in these are one group whose share is split evenly (rounded down; it differs only at
-    the one cut of a source). A source's slots take ``slots * block`` words of its circle, at most
-    ``most`` times its size, so no row gives more than ``most`` times its own size. Null source is a
+    the one cut of a source). A source's slots and its rest take its target, rounded to a word, of its
+    circle whatever its size; that is at most ``most`` times its size, so no row gives more than
+    ``most`` times its own size. Null source is a
     source of its own, null text has size 0, an empty table gives no rows.
     """
     keyed = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_h", F.xxhash64("doc_id", "text"))
@@ -136,8 +141,8 @@ def mix(docs: DataFrame, pattern: tuple[int, ...] = (1, 2, 3), most: int = 3, sl
     plan, length = slot_plan(targets, slots, block)
     plan = (
         targets.alias("t")
-        .join(plan.alias("p"), F.expr("t.source <=> p.source"), "left")
-        .select("t.source", "t.source_size", "t.target", F.least(F.coalesce(F.col("p.slots"), F.lit(0)) * length, F.col("t.source_size") * most).alias("_words"))
+        .join(plan.alias("p"), F.expr("t.source <=> p.source"))
+        .select("t.source", "t.source_size", "t.target", F.least(F.col("p.slots") * length + F.col("p.rest"), F.col("t.source_size") * most).alias("_words"))
     )
     plan = stage(
         plan.withColumn("_full", F.expr("if(source_size > 0, _words div source_size, 0L)")).withColumn("_rest", F.expr("if(source_size > 0, _words % source_size, 0L)")),

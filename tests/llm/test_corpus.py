@@ -47,6 +47,17 @@ def test_mixing(odd, docs):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixing_tiny_sources(spark):
+    """Sources of any size get their target, those far smaller than a block too."""
+    large = [(100 * s + d, f"L{s:02}", " ".join(f"w{s}x{d}x{i}" for i in range(500))) for s in range(10) for d in range(4)]
+    tiny = [(10_000 + 10 * s + d, f"T{s:02}", " ".join(f"t{s}x{d}x{i}" for i in range(3 + s % 9))) for s in range(60) for d in range(2)]
+    taken, target = {}, {}
+    for r in mixing.mix(spark.createDataFrame([*large, *tiny, (-1, None, "a b c")], "doc_id long, source string, text string"), slots=64, block=512).collect():
+        taken[r["source"]], target[r["source"]] = taken.get(r["source"], 0) + r["_taken"], r["_target"]
+        assert 0 <= r["_taken"] <= 3 * r["_size"]
+    assert len(taken) == 71 and all(abs(taken[s] - target[s]) <= 0.5 for s in taken)
+
+
 def test_ranked_slots(spark):
     targets = spark.createDataFrame([("a", 100, 25.0), ("b", 100, 75.0), (None, 100, 200.0)], "source string, source_size long, target double")
     schedule, length = mixing.schedule_slots(targets)
