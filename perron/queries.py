@@ -15,6 +15,7 @@ from perron.sources.events_timetable import EVENT_TYPES, events_timetable
 
 START, TARGET, AT = 3, 0, 8 * 3600 * 1000
 ORIGINS = (0, 37, 73)
+WEEK = 7 * 24 * 3600 * 1000
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -143,7 +144,7 @@ def earliest_arrival_to(spark: SparkSession, d: str) -> DataFrame:
 
 def latest_departure(spark: SparkSession, d: str) -> DataFrame:
     t = events_timetable(spark, d)
-    return clustering.latest_departures(t.stop_times, network.walk_edges(t.stops), spark.createDataFrame([(1, 50, 20 * 3600 * 1000)], "query_id int, stop_id int, tau long"), rounds=2)
+    return clustering.latest_departures(t.stop_times, network.walk_edges(t.stops), spark.createDataFrame([(1, 50, 20 * 3600 * 1000)], "query_id int, stop_id int, tau long"))
 
 
 def range_all(spark: SparkSession, d: str) -> DataFrame:
@@ -163,8 +164,7 @@ def range_json(spark: SparkSession, d: str) -> DataFrame:
 
 def transfer_patterns(spark: SparkSession, d: str) -> DataFrame:
     t = events_timetable(spark, d)
-    best = raptor.earliest_arrivals(t.stop_times, network.walk_edges(t.stops), t.stops.select(F.col("stop_id").alias("query_id"), "stop_id", F.lit(AT).cast("long").alias("tau")), rounds=2)
-    return raptor.transfer_patterns(best)
+    return raptor.transfer_patterns(raptor.range_from_all(t.stop_times, network.walk_edges(t.stops), t.stops, 0, WEEK))
 
 
 def transfer_pattern_graph(spark: SparkSession, d: str) -> DataFrame:

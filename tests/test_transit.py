@@ -62,6 +62,23 @@ def test_pattern_graph(spark):
     assert {(r["node"], r["before"]) for r in raptor.pattern_edges(p).collect()} == {("target:1", "root"), ("prefix:0>1", "root"), ("target:2", "prefix:0>1")}
 
 
+def test_all_rides_and_departures(spark, tmp_path):
+    """A direct ride at six and three rides from nine on, of stops that no walk links."""
+    trips = [[(90, 6), (50, 7)], [(90, 9), (5, 10)], [(5, 11), (99, 12)], [(99, 13), (50, 14)]]
+    rows = [(10 * u + i, f"2024-01-01 {h:02}:00:00", u, "view", f'{{"k": {stop}}}') for u, trip in enumerate(trips) for i, (stop, h) in enumerate(trip)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, props string")
+    events.withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    found = {(r[0], tuple(r[1]), r[2]) for r in queries.QUERIES["transfer_patterns"](spark, str(tmp_path)).collect()}
+    assert found == {(90, (), 50), (90, (), 5), (90, (5,), 99), (90, (5, 99), 50), (5, (), 99), (5, (99,), 50), (99, (), 50)}
+    latest = {r["stop_id"]: r["tau"] // 3_600_000 for r in queries.QUERIES["latest_departure"](spark, str(tmp_path)).collect()}
+    assert latest == {50: 20, 99: 13, 5: 11, 90: 9}
+
+
+def test_range_from_all(spark, case4):
+    together = raptor.range_from_all(*case4, case4[0].select("stop_id").distinct(), 0, 1_000_000).collect()
+    assert legs(together) == set().union(*[legs(raptor.range_query(*case4, s, 0, 1_000_000).collect()) for s in range(5)])
+
+
 def test_functions(spark):
     one = spark.createDataFrame([("03:42:31", "25:42:00", "x", None)], "a string, b string, c string, d string")
     assert tuple(one.select(*[gtfs_time_ms(F.col(c)) for c in "abcd"]).first()) == (13_351_000, 92_520_000, None, None)
