@@ -79,6 +79,12 @@ def used_stops(spark: SparkSession, d: str) -> DataFrame:
     return t.stops.join(t.stop_times.where("stop_sequence >= 3"), "stop_id", "left_semi").select("stop_id")
 
 
+def used_stops_all(spark: SparkSession, d: str) -> DataFrame:
+    """``used_stops`` over all stop times."""
+    t = events_timetable(spark, d)
+    return t.stops.join(t.stop_times, "stop_id", "left_semi").select("stop_id")
+
+
 def line_geometry(spark: SparkSession, d: str) -> DataFrame:
     t = events_timetable(spark, d, True)
     found = network.line_geometry(t.stop_times, t.stops)
@@ -100,6 +106,12 @@ def border_stations(spark: SparkSession, d: str) -> DataFrame:
     return network.border_stations(t.stop_times, _clusters(t.stops).where("stop_id % 9 <> 0 OR stop_id < 50"))
 
 
+def border_stations_all(spark: SparkSession, d: str) -> DataFrame:
+    """``border_stations`` over all clusters."""
+    t = events_timetable(spark, d)
+    return network.border_stations(t.stop_times, _clusters(t.stops))
+
+
 def stop_adjacency_weighted(spark: SparkSession, d: str) -> DataFrame:
     t = events_timetable(spark, d)
     return network.stop_adjacency(t.stop_times, t.trips, t.services)
@@ -181,7 +193,7 @@ def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gaussian_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.gaussian_mixture(events_timetable(spark, d).stops, 3, runs=2)
+    return clustering.gaussian_mixture(events_timetable(spark, d).stops, 3)
 
 
 def dbscan_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -215,7 +227,7 @@ QUERIES: dict[str, Query] = {
         walk_edges, used_stops, line_geometry, hops, long_distance_stations, border_stations, stop_adjacency_weighted, service_trips_per_year, merge_score_top1,
         cluster_sub_timetable, dataset_stats, earliest_arrival_k2, earliest_arrival_all, earliest_arrival_to, latest_departure, range_all, range_departures, range_json,
         transfer_patterns, transfer_pattern_graph, long_walk_components, kmeans_clusters, gaussian_clusters, dbscan_clusters,
-        optics_clusters, service_days, dated_stop_times, pattern_arrivals,
+        optics_clusters, service_days, dated_stop_times, pattern_arrivals, used_stops_all, border_stations_all,
     )
 }
 

@@ -74,6 +74,23 @@ def test_all_rides_and_departures(spark, tmp_path):
     assert latest == {50: 20, 99: 13, 5: 11, 90: 9}
 
 
+def test_all_stops_and_clusters(spark, tmp_path):
+    """A hop by way of stop 54 (10 and 54 lie in other clusters than their neighbours, 60 in that of 54)."""
+    rows = [(i, f"2024-01-01 {8 + i:02}:00:00", 1, "view", f'{{"k": {stop}}}') for i, stop in enumerate((10, 54, 60))]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, props string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    found = lambda name: sorted(r["stop_id"] for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+    assert found("border_stations_all") == [10, 54]
+    assert found("used_stops_all") == [10, 54, 60]
+
+
+def test_gaussian_restarts(spark, monkeypatch):
+    from pyspark.ml.clustering import GaussianMixture
+
+    fits, fit = [], GaussianMixture.fit
+    monkeypatch.setattr(GaussianMixture, "fit", lambda self, data: fits.append(1) or fit(self, data))
+    assert queries.QUERIES["gaussian_clusters"](spark, SF).count() == 100 and len(fits) == 10
+
+
 def test_range_from_all(spark, case4):
     together = raptor.range_from_all(*case4, case4[0].select("stop_id").distinct(), 0, 1_000_000).collect()
     assert legs(together) == set().union(*[legs(raptor.range_query(*case4, s, 0, 1_000_000).collect()) for s in range(5)])
