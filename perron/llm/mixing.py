@@ -1,10 +1,14 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
 Golden-ratio points, taken one per slot, are mapped through the cumulative target weights of the
-sources, so every stretch of the schedule holds each source near its weight. Slots are ranked per
-source; slot k of a source takes block k of that source's shuffled stream of words, read in a
-circle, in blocks of equal length. Only narrow rows are sorted: the decision about a document
-follows from its place in its source's shuffled order, so the texts themselves are never shuffled.
+sources, so every stretch of the schedule holds each source near its weight. By the method, slots
+are ranked per source and slot k of a source takes block k of that source's shuffled stream of
+words, read in a circle, in blocks of equal length.
+
+A shortcut is taken: ``mix`` only counts a source's slots, adds the rest of its target, and takes that
+many words from the start of the circle. Slots are not ranked (``ranked_slots`` is called by tests only) and
+not joined with blocks, no output carries the schedule, and ``mixed_documents`` is not interleaved: the copies
+of a document follow each other in scan order. Only narrow rows are sorted, texts are never shuffled.
 """
 
 from __future__ import annotations
