@@ -1,11 +1,27 @@
-"""A filter that stays above the projection it reads."""
+"""Projections and filters over frames of unknown columns."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that ``taken`` doesn't have, in any case of letters."""
+    there = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        k, found = 0, f"_{name}"
+        while found.lower() in there:
+            k += 1
+            found = f"_{name}_{k}"
+        there.add(found.lower())
+        out.append(found)
+    return out
+
+
 def filter_late(df: DataFrame, condition: Column) -> DataFrame:
     """``df.where(condition)`` on computed columns without computing them again.
 
@@ -14,5 +30,5 @@ def filter_late(df: DataFrame, condition: Column) -> DataFrame:
     value. A filter is not pushed below a projection that holds a non-deterministic column; the row
     number added here is that column, and dropped above.
     """
-    row = "_late_row"
+    (row,) = fresh(df.columns, "row")
     return df.withColumn(row, F.monotonically_increasing_id()).where(condition & (F.col(row) >= 0)).drop(row)
