@@ -28,6 +28,11 @@ VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers, and rows that it works on at once.
 CACHE_WORDS = 400_000
 SLICE_BYTES = 4 << 20
+#: How the vocabulary marks a word's last token, and new words that are encoded as one text.
+WORD_END = "</w>"
+GROUP_WORDS = 500
+#: Letters below are the Latin ones without combining marks, the same in every version of Unicode.
+LATIN_END = "\u0250"
 
 
 def default_vocabulary() -> str:
@@ -57,22 +62,80 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        fast = lambda t: getattr(t, "encode_batch_fast", t.encode_batch)
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, words: list[str]) -> list[list[int]]:
-        new = [w for w in words if w not in self.known]
+        self.encode = fast(self.model)
+        ascii_, latin = Tokenizer(self.model.model), Tokenizer(self.model.model)
+        ascii_.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.by_run = (fast(ascii_), fast(latin))
+        self.ends_word = np.zeros(self.model.get_vocab_size(), dtype=bool)
+        self.ends_word[[i for t, i in self.model.get_vocab().items() if t.endswith(WORD_END)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew with END_ID as the only known word, of code 0."""
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.full(1 << 20, END_ID, dtype=np.uint32), 1
+        self.starts, self.lengths, self.count = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), 1
+
+    def learn(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> int:
+        """Remember words, with all of their ids in a row; the first one's code."""
+        for name, size, more in (("flat", self.used, len(ids)), ("starts", self.count, len(words)), ("lengths", self.count, len(words))):
+            old = getattr(self, name)
+            if size + more > len(old):
+                grown = np.zeros(max(2 * len(old), size + more), old.dtype)
+                grown[:size] = old[:size]
+                setattr(self, name, grown)
+        first = self.count
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        new = slice(first, first + len(words))
+        self.lengths[new], self.starts[new] = lengths, self.used + np.cumsum(lengths) - lengths
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.count, self.used = new.stop, self.used + len(ids)
+        return first
+
+    def tokenize(self, words: list[str]) -> np.ndarray:
+        """Codes of new words. Lower-case words of Latin letters alone need no normalizing and are one token
+        run each, which ends in a word-end token: many are encoded as one text, told apart by these, and
+        plain ASCII ones are their own byte-level form. The others are encoded one by one."""
+        codes = np.empty(len(words), dtype=np.int64)
+        kind = np.fromiter((2 if not w.isalpha() else 0 if w.isascii() and w.islower() else 1 if max(w) < LATIN_END and w == w.lower() else 2 for w in words), np.int8, len(words))
+        single = np.flatnonzero(kind == 2).tolist()
+        for k, encode in enumerate(self.by_run):
+            place = np.flatnonzero(kind == k)
+            parts = [place[lo : lo + GROUP_WORDS].tolist() for lo in range(0, len(place), GROUP_WORDS)]
+            texts = [[words[i] for i in part] for part in parts]
+            for part, text, e in zip(parts, texts, encode([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype=np.uint32)
+                ends = np.flatnonzero(self.ends_word[ids])
+                if len(ends) == len(part) and ends[-1] == len(ids) - 1:
+                    first = self.learn(text, ids, np.diff(ends, prepend=-1))
+                    codes[part] = np.arange(first, first + len(part))
+                else:
+                    single += part
+        for lo in range(0, len(single), 10_000):
+            part = single[lo : lo + 10_000]
+            text = [words[i] for i in part]
+            each = [e.ids for e in self.encode(text, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, each), np.int64, len(each))
+            first = self.learn(text, np.fromiter(chain.from_iterable(each), np.uint32, int(lengths.sum())), lengths)
+            codes[part] = np.arange(first, first + len(part))
+        return codes
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        """The codes of different words, under which their ids are found."""
+        get = self.known.get
+        found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(found < 0).tolist()
         if new:
             if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = words
-            encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
-            for lo in range(0, len(new), 10_000):
-                part = new[lo : lo + 10_000]
-                self.known.update(zip(part, (e.ids for e in encode(part, add_special_tokens=False)), strict=True))
-        return [self.known[w] for w in words]
+                self.forget()
+                return self.tokenize(words)
+            found[new] = self.tokenize([words[i] for i in new])
+        return found
 
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document's followed by END_ID, and the documents' offsets in them."""
@@ -85,16 +148,14 @@ class WordTokenizer:
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
         index = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        each = self.ids(words.dictionary.to_pylist())
-        each.append([END_ID])
-        lengths = np.fromiter(map(len, each), np.int64, len(each))
-        starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        flat = np.fromiter(chain.from_iterable(each), np.uint32, int(lengths.sum()))
+        code = self.codes(words.dictionary.to_pylist())
         ends = lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]
-        index = np.insert(index, ends, len(each) - 1)
-        n = lengths[index]
+        index = np.insert(code[index], ends, 0)
+        n = self.lengths[index]
         after = np.cumsum(n)
-        ids = flat[np.repeat(starts[index] - (after - n), n) + np.arange(int(n.sum()))]
+        total = int(after[-1]) if len(after) else 0
+        narrow = np.int32 if max(total, self.used) < 1 << 30 else np.int64
+        ids = self.flat[np.repeat((self.starts[index] - (after - n)).astype(narrow), n) + np.arange(total, dtype=narrow)]
         last = ends + np.arange(len(ends))  # where each document's END_ID is among the words
         return ids, np.concatenate(([0], after[last])) if len(ends) else np.zeros(1, np.int64)
 
@@ -163,15 +224,18 @@ def pack(docs: DataFrame, length: int = LENGTH, most_open: int = OPEN, vocabular
             for lo in range(0, batch.num_rows, rows):
                 part = batch.slice(lo, rows)
                 ids, offsets = tokenizer.documents(part.column(1))
-                out: list[tuple] = []
-                for i, doc in enumerate(part.column(0).to_pylist()):
-                    a, b = int(offsets[i]), int(offsets[i + 1])
-                    for piece, s in enumerate(range(a, b, length)):
-                        n = min(length, b - s)
-                        out.append((doc, piece, s - a, n, zlib.crc32(ids[s : s + n].astype("<u4").tobytes()), *bins.place(n)))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 7
-                types = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                sizes = np.diff(offsets)
+                pieces = (sizes + length - 1) // length  # one at least, as END_ID is there
+                row = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * length
+                need = np.minimum(length, sizes[row] - start)
+                begin = ((offsets[row] + start) * 4).tolist()
+                crc = [zlib.crc32(data[a : a + 4 * n]) for a, n in zip(begin, need.tolist(), strict=True)]
+                placed = np.array([bins.place(n) for n in need.tolist()], dtype=np.int64).reshape(-1, 2)
+                columns = [part.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), *[pa.array(c, pa.int64()) for c in (start, need, crc, placed[:, 0], placed[:, 1])]]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         work, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
