@@ -1,191 +1,283 @@
 """Main text of web pages with a recurrent block labeller.
 
 A page is parsed into its sequence of leaf blocks (runs of text between block-level tags). Each
-block is described by its tag path (tags, and words of class, id and role), its hashed words and a
-few measures; a bidirectional LSTM in numpy reads the whole sequence and says of every block
-whether it belongs to the main text, so a block is judged with all of the page around it.
+block is described by its tag path, its hashed words and a few measures; a bidirectional LSTM in
+numpy reads the whole sequence and says of every block whether it belongs to the main text, so a
+block is judged with all of the page around it.
 
-The weights are trained here, when first needed, on pages that a generator composes with known
-labels (fixed seed: every process gets the same weights).
+The tag path is read from the leaf: the tokens (tag, and known words of class, id and role) of the
+innermost element that has any, those of the next one, and the set of all further ones; each of
+the three is pooled by maximum. Elements without a known token (plain or oddly named wrappers) are
+not in it, so a block looks the same however deep it lies, and no ancestor is cut.
+
+The weights in ``html_weights.npz`` are made by ``html_train`` from pages that a generator composes
+with known labels (fixed seed).
 """
 
 from __future__ import annotations
 
 import html
-import random
+import json
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from perron.llm.textkernel import chunks, word_hashes
 from perron.session import bound_arrow_batches
 
 # HTML element names by how the parser treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template title svg iframe object head math canvas audio video".split())
+DROPPED = frozenset("script style noscript template title svg iframe object math canvas audio video".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+ITEMS = frozenset("li dt dd tr td th option".split())
+LISTS = frozenset("ul ol dl table select".split())
+#: Elements that say nothing of their text.
+PLAIN = INLINE | frozenset("html head body div tbody tr center".split())
 
-TAG = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S
-)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)>""")
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WHITE = re.compile(r"\s+")
+WORD = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"([a-z])([A-Z])")
 
-PATH_BUCKETS, WORD_BUCKETS, MEASURES = 512, 512, 6
+WORD_BUCKETS, MEASURES = 1024, 8
 EMBEDDED, HIDDEN = 24, 20
-PATH_DEPTH = 12
 BATCH_PAGES = 128
 THRESHOLD = 0.5
-_C_WORD = re.compile(r"[a-z]+")
+#: Known words of this many letters are found at the ends of longer ones too ("commentlist").
+STEM = 5
+WEIGHTS = Path(__file__).with_name("html_weights.npz")
 
 
 @dataclass
 class Block:
     """A run of text between block-level tags, and what the labeller sees of it."""
 
-    path: tuple[int, ...]
+    path: tuple[int, int, int]
+    box: int  # the element around it
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    text: str = ""
 
-    @property
-    def text(self) -> str:
-        return WHITE.sub(" ", "".join(self.parts)).strip()
-
-
-def hashed(word: str, buckets: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % buckets
 
+class Vocabulary:
+    """The tokens of tag paths, and the bit set of a tag."""
 
-_tokens: dict[tuple[str, str], tuple[int, ...]] = {}
+    def __init__(self, tokens: list[str]):
+        self.tokens = tokens
+        self.place = {t: i for i, t in enumerate(tokens)}
+        self.stems = [t[1:] for t in tokens if t[0] == "." and len(t) > STEM]
+        self.cache: dict[tuple[str, str], int] = {}
 
-
-def tag_tokens(name: str, attributes: str) -> tuple[int, ...]:
-    """Buckets of a tag's name and of the words of its class, id and role."""
-    named = " ".join(b or c or d for _, b, c, d in NAMED.findall(attributes)) if attributes else ""
-    key = (name, named)
-    if key not in _tokens:
-        if len(_tokens) > 20_000:
-            _tokens.clear()
-        words = _C_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())
-        _tokens[key] = (hashed(name, PATH_BUCKETS), *[hashed("." + w, PATH_BUCKETS) for w in words[:8]])
-    return _tokens[key]
-
-
-def parse_blocks(page: str) -> list[Block]:
-    """The blocks with text of a page, in page order. Broken markup is read as far as it goes."""
+    def words(self, named: str) -> list[str]:
+        """The words of class, id and role; of unknown ones the known word at their start or end."""
+        out = []
+        for w in WORD.findall(CAMEL.sub(r"\1 \2", named).lower()):
+            if "." + w in self.place or len(w) <= STEM:
+                out.append(w)
+            else:
+                out += sorted((s for s in self.stems if w.startswith(s) or w.endswith(s)), key=len)[-1:]
+        return out
+
+    def bits(self, name: str, attributes: str) -> int:
+        """The bit set of a tag's known tokens; every word counts."""
+        named = " ".join(b or c or d for _, b, c, d in NAMED.findall(attributes)) if attributes and name not in ("html", "body") else ""
+        key = (name, named)
+        if key not in self.cache:
+            if len(self.cache) > 20_000:
+                self.cache.clear()
+            tokens = [] if name in PLAIN else [name]
+            tokens += ["." + w for w in self.words(named)]
+            self.cache[key] = sum(1 << i for i in {self.place[t] for t in tokens if t in self.place})
+        return self.cache[key]
+
+
+@lru_cache(maxsize=64)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I)
+
+
+def parse_blocks(page: str, vocabulary: Vocabulary) -> list[Block]:
+    """The blocks with text of a page, in page order.
+
+    Broken markup is read as far as it goes, in time linear in the page: quotes count after an equals
+    sign only, an end tag without a start is passed over, a tag that never ends is dropped with what
+    follows (as browsers do), an unclosed script or comment hides the rest.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    # Of every open element: its name, the nearest block-level element at or above, the path, its number.
+    names: list[str] = []
+    nearest: list[int] = []
+    paths: list[tuple[int, int, int]] = []
+    numbers: list[int] = []
+    open_: Counter[str] = Counter()
+    last: dict[str, list[int]] = {}
     current: Block | None = None
-    links = dropped = 0
-    at = 0
+    linked = False
+    dropped = serial = at = 0
+    n = len(page)
 
     def add(text: str) -> None:
         nonlocal current
         if dropped or not text:
             return
         if current is None:
-            if not text.strip():
+            if text.isspace():
                 return
-            inner = stack[-PATH_DEPTH:]
-            current = Block(tuple(t for _, tokens in inner for t in tokens))
+            top = nearest[-1] if nearest else -1
+            current = Block(paths[-1] if paths else (0, 0, 0), numbers[top - 1] if top > 0 else -1)
             blocks.append(current)
         text = html.unescape(text) if "&" in text else text
         current.parts.append(text)
-        if links:
+        if linked:
             current.linked += len(text)
 
     def pop(index: int) -> None:
-        nonlocal links, dropped
-        for name, _ in stack[index:]:
-            links -= name == "a"
+        nonlocal linked, dropped
+        for name in names[index:]:
+            open_[name] -= 1
+            last[name].pop()
+            linked = linked and name != "a"
             dropped -= name in DROPPED
-        del stack[index:]
+        del names[index:], nearest[index:], paths[index:], numbers[index:]
 
-    while True:
-        m = TAG.search(page, at)
-        if m is None:
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
             add(page[at:])
-            return [b for b in blocks if b.text]
-        add(page[at : m.start()])
-        at = m.end()
-        name = m.group(2) or m.group(5)
-        if name is None:
+            break
+        if lt > at:
+            add(page[at:lt])
+        after = page[lt + 1 : lt + 2]
+        if after in ("!", "?"):
+            if page.startswith("<!--", lt):
+                a, b = page.find("-->", lt + 2), page.find("--!>", lt + 4)
+                at = n if a < 0 and b < 0 else a + 3 if b < 0 or 0 <= a < b else b + 4
+            elif page.startswith("<![CDATA[", lt):
+                end = page.find("]]>", lt)
+                at = n if end < 0 else end + 3
+            else:
+                end = page.find(">", lt)
+                at = n if end < 0 else end + 1
+            continue
+        m = TAG.match(page, lt)
+        if m is None:
+            if after.isascii() and after.isalpha() or after == "/" and page[lt + 2 : lt + 3].isalpha():
+                break  # no tag ends any more
+            add("<")
+            at = lt + 1
             continue
-        name, closing, attributes = name.lower(), m.group(1) or m.group(4), m.group(3) or m.group(6) or ""
+        at = m.end()
+        closing, name, attributes = m.groups()
+        name = name.lower()
         if name not in INLINE and name != "br":
             current = None
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
+            if open_[name]:
+                pop(last[name][-1])
             continue
         if name == "br":
             add(" ")
             continue
-        if name == "body":  # whatever of the head is still open ends here
-            pop(next((i for i, (n, _) in enumerate(stack) if n == "head"), len(stack)))
+        if name == "body" and open_["head"]:  # whatever of the head is still open ends here
+            pop(last["head"][-1])
         if name in CLOSES_P:
-            for i in range(len(stack) - 1, max(-1, len(stack) - PATH_DEPTH), -1):
-                if stack[i][0] == "p":
-                    pop(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            for i in range(len(stack) - 1, max(-1, len(stack) - PATH_DEPTH), -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
-                    break
+            if nearest and nearest[-1] >= 0 and names[nearest[-1]] == "p":
+                pop(nearest[-1])
+        elif name in ITEMS and open_[name]:
+            if last[name][-1] > max((last[x][-1] for x in LISTS if open_[x]), default=-1):
+                pop(last[name][-1])
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            stop = end.start() if end else len(page)
+            end = _end_of(name).search(page, at)
             if name not in DROPPED:
-                stack.append((name, tag_tokens(name, attributes)))
-                add(page[at:stop])
-                pop(len(stack) - 1)
+                up = paths[-1] if paths else (0, 0, 0)
+                bits = vocabulary.bits(name, attributes)
+                paths.append((bits, up[0], up[1] | up[2]) if bits else up)
+                add(page[at : end.start() if end else n])
+                paths.pop()
                 current = None
-            at = end.end() if end else len(page)
+            at = end.end() if end else n
             continue
         if name in VOID or attributes.endswith("/") and name not in CLOSES_P:
             continue
-        stack.append((name, tag_tokens(name, attributes)))
-        links += name == "a"
+        up = paths[-1] if paths else (0, 0, 0)
+        bits = vocabulary.bits(name, attributes)
+        last.setdefault(name, []).append(len(names))
+        nearest.append(len(names) if name not in INLINE else nearest[-1] if nearest else -1)
+        names.append(name)
+        paths.append((bits, up[0], up[1] | up[2]) if bits else up)
+        serial += 1
+        numbers.append(serial)
+        open_[name] += 1
+        linked = linked or name == "a"
         dropped += name in DROPPED
+    for b in blocks:
+        b.text = " ".join("".join(b.parts).split())
+    return [b for b in blocks if b.text]
 
 
 def measures(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), MEASURES), dtype=np.float32)
+    boxes: Counter[int] = Counter()
+    for b in blocks:
+        boxes[b.box] += len(b.text)
+    total = sum(boxes.values())
     for i, b in enumerate(blocks):
         t = b.text
         n = len(t)
-        out[i] = (np.log1p(n) / 6, b.linked / max(1, sum(map(len, b.parts))), min(1.0, 20 * sum(map(t.count, ".,;:!?")) / n), t[-1] in ".!?:\"'", i / len(blocks), min(1.0, len(blocks) / 40))
+        out[i] = (
+            np.log1p(n) / 6,
+            min(1.0, b.linked / n),
+            min(1.0, 20 * sum(map(t.count, ".,;:!?")) / n),
+            t[-1] in ".!?:\"'",
+            i / len(blocks),
+            min(1.0, len(blocks) / 40),
+            boxes[b.box] / total,
+            min(1.0, total / 4000),
+        )
     return out
 
 
-def features(blocks: list[Block]) -> tuple[list[tuple[int, ...]], list[list[int]], np.ndarray]:
-    """Path buckets, word buckets and measures of a page's blocks. Every word of a block counts."""
-    words = [[hashed(w, WORD_BUCKETS) for w in b.text.lower().split()] for b in blocks]
-    return [b.path for b in blocks], words, measures(blocks)
+@dataclass
+class Page:
+    """What the labeller sees of a page: paths, word buckets with their offsets by block, measures."""
+
+    paths: list[tuple[int, int, int]]
+    words: np.ndarray
+    offsets: np.ndarray
+    measured: np.ndarray
+
+
+def features(blocks: list[Block]) -> Page:
+    """Every word of a block counts."""
+    buckets, counts = [], []
+    for start, end, data, offsets in chunks(pa.array([b.text for b in blocks], pa.large_string())):
+        h, row = word_hashes(data, offsets)
+        buckets.append((h % np.uint64(WORD_BUCKETS)).astype(np.int32))
+        counts.append(np.bincount(row, minlength=end - start))
+    counts_ = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    return Page([b.path for b in blocks], np.concatenate(buckets) if buckets else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum(counts_))), measures(blocks))
 
 
 # --- the network ---------------------------------------------------------------------------------
 
 
-def new_weights(seed: int) -> dict[str, np.ndarray]:
+def new_weights(seed: int, tokens: int) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     scaled = lambda *shape, by=1.0: (rng.normal(size=shape) * by).astype(np.float32)
-    w = {"path": scaled(PATH_BUCKETS, EMBEDDED, by=0.2), "word": scaled(WORD_BUCKETS, EMBEDDED, by=0.1), "measure": scaled(MEASURES, EMBEDDED, by=0.5), "bias": scaled(EMBEDDED, by=0.0)}
+    w = {f"path{k}": scaled(tokens + 1, EMBEDDED, by=0.2) for k in range(3)}  # the last row: no token
+    w |= {"word": scaled(WORD_BUCKETS, EMBEDDED, by=0.05), "measure": scaled(MEASURES, EMBEDDED, by=0.5), "bias": scaled(EMBEDDED, by=0.0)}
     for d in ("f", "b"):
         w[f"x{d}"] = scaled(EMBEDDED, 4 * HIDDEN, by=EMBEDDED**-0.5)
         w[f"h{d}"] = scaled(HIDDEN, 4 * HIDDEN, by=HIDDEN**-0.5)
@@ -198,30 +290,47 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def bag(table: np.ndarray, lists: list, mean: bool) -> np.ndarray:
-    """Sums (or means) of a table's rows by list of row numbers."""
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    out = np.zeros((len(lists), table.shape[1]), dtype=np.float32)
-    full = np.flatnonzero(n)
-    if len(full):
-        flat = np.fromiter((i for x in lists for i in x), np.int64, int(n.sum()))
-        starts = (np.cumsum(n) - n)[full]
-        step = 1 << 16  # lists of a slice at a time: bounds the gathered rows
-        if len(flat) <= step:
-            out[full] = np.add.reduceat(table[flat], starts, axis=0)
+def token_rows(sets: list[int], none: int) -> np.ndarray:
+    """Rows of token numbers for bit sets, filled up by repeating the first; ``none`` for the empty set."""
+    lists = [[i for i in range(s.bit_length()) if s >> i & 1] or [none] for s in sets]
+    wide = max(map(len, lists))
+    return np.array([x + x[:1] * (wide - len(x)) for x in lists])
+
+
+def pooled(table: np.ndarray, sets: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The maxima of a table's rows over each bit set; (values, which set each is, token rows, places of the maxima)."""
+    number: dict[int, int] = {}
+    which = np.fromiter((number.setdefault(s, len(number)) for s in sets), np.int64, len(sets))
+    rows = token_rows(list(number), len(table) - 1)
+    each = table[rows]
+    return each.max(axis=1)[which], which, rows, each.argmax(axis=1)
+
+
+def word_means(table: np.ndarray, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Means of a table's rows by block, a bounded number of words at a time."""
+    n = np.diff(offsets)
+    out = np.zeros((len(n), table.shape[1]), dtype=np.float32)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 16), side="right")) - 1)
+        a, b = offsets[lo], offsets[hi]
+        if hi == lo + 1:
+            out[lo] = np.bincount(words[a:b], minlength=len(table)).astype(np.float32) @ table
         else:
-            for i, s in zip(full, starts, strict=True):
-                counts = np.bincount(flat[s : s + n[i]], minlength=len(table)).astype(np.float32)
-                out[i] = counts @ table
-    return out / np.maximum(n, 1)[:, None].astype(np.float32) if mean else out
+            full = np.flatnonzero(n[lo:hi])
+            if len(full):
+                out[lo + full] = np.add.reduceat(table[words[a:b]], offsets[lo:hi][full] - a, axis=0)
+        lo = hi
+    return out / np.maximum(n, 1)[:, None].astype(np.float32)
 
 
 @dataclass
 class Padded:
     """Pages as one (steps, pages) grid; ``place`` has each block's cell."""
 
-    paths: list
-    words: list
+    paths: list[tuple[int, int, int]]
+    words: np.ndarray
+    offsets: np.ndarray
     measured: np.ndarray
     place: np.ndarray
     steps: int
@@ -229,12 +338,13 @@ class Padded:
     mask: np.ndarray
 
 
-def padded(pages: list[tuple[list, list, np.ndarray]]) -> Padded:
-    steps, n = max(len(p[0]) for p in pages), len(pages)
-    place = np.concatenate([np.arange(len(p[0])) * n + i for i, p in enumerate(pages)])
+def padded(pages: list[Page]) -> Padded:
+    steps, n = max(len(p.paths) for p in pages), len(pages)
+    place = np.concatenate([np.arange(len(p.paths)) * n + i for i, p in enumerate(pages)])
     mask = np.zeros(steps * n, dtype=np.float32)
     mask[place] = 1
-    return Padded([x for p in pages for x in p[0]], [x for p in pages for x in p[1]], np.concatenate([p[2] for p in pages]), place, steps, n, mask.reshape(steps, n, 1))
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p.offsets) for p in pages]))))
+    return Padded([x for p in pages for x in p.paths], np.concatenate([p.words for p in pages]), offsets, np.concatenate([p.measured for p in pages]), place, steps, n, mask.reshape(steps, n, 1))
 
 
 def run_direction(x: np.ndarray, mask: np.ndarray, w: dict, d: str, tape: list | None) -> np.ndarray:
@@ -257,201 +367,44 @@ def run_direction(x: np.ndarray, mask: np.ndarray, w: dict, d: str, tape: list |
 
 
 def embed(p: Padded, w: dict) -> np.ndarray:
-    e = np.tanh(bag(w["path"], p.paths, False) + bag(w["word"], p.words, True) + p.measured @ w["measure"] + w["bias"])
+    e = p.measured @ w["measure"] + w["bias"] + word_means(w["word"], p.words, p.offsets)
+    for k in range(3):
+        e += pooled(w[f"path{k}"], [x[k] for x in p.paths])[0]
     x = np.zeros((p.steps * p.pages, EMBEDDED), np.float32)
-    x[p.place] = e
+    x[p.place] = np.tanh(e)
     return x.reshape(p.steps, p.pages, EMBEDDED)
 
 
-def label(pages: list[tuple[list, list, np.ndarray]], w: dict) -> list[np.ndarray]:
+def label(pages: list[Page], w: dict) -> list[np.ndarray]:
     """Probability of every block of every page to be main text."""
     out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
-    order = sorted((i for i in range(len(pages)) if len(pages[i][0])), key=lambda i: len(pages[i][0]))
-    for lo in range(0, len(order), BATCH_PAGES):
-        part = order[lo : lo + BATCH_PAGES]
+    order = sorted((i for i in range(len(pages)) if len(pages[i].paths)), key=lambda i: len(pages[i].paths))
+    lo = 0
+    while lo < len(order):
+        # Pages of a batch fill a grid as high as the longest: at most BATCH_PAGES of about equal length.
+        longest = 2 * len(pages[order[lo]].paths) + 32
+        part = [i for i in order[lo : lo + BATCH_PAGES] if len(pages[i].paths) <= longest]
         p = padded([pages[i] for i in part])
         x = embed(p, w)
         h = np.concatenate((run_direction(x, p.mask, w, "f", None), run_direction(x, p.mask, w, "b", None)), axis=2)
         y = sigmoid(h @ w["out"] + w["out_bias"])
         for j, i in enumerate(part):
-            out[i] = y[: len(pages[i][0]), j]
+            out[i] = y[: len(pages[i].paths), j]
+        lo += len(part)
     return out
 
 
-def gradients(p: Padded, target: np.ndarray, w: dict) -> tuple[float, dict]:
-    """Cross-entropy and its gradients by back-propagation through time."""
-    x = embed(p, w)
-    tapes: dict[str, list] = {"f": [], "b": []}
-    hs = {d: run_direction(x, p.mask, w, d, tapes[d]) for d in "fb"}
-    h = np.concatenate((hs["f"], hs["b"]), axis=2)
-    y = sigmoid(h @ w["out"] + w["out_bias"])
-    m = p.mask[:, :, 0]
-    loss = -float((m * (target * np.log(y + 1e-7) + (1 - target) * np.log(1 - y + 1e-7))).sum() / m.sum())
-    dy = (m * (y - target) / m.sum()).astype(np.float32)
-    g = {"out": np.einsum("tn,tnh->h", dy, h), "out_bias": np.array([dy.sum()], np.float32)}
-    dx = np.zeros_like(x)
-    for k, d in enumerate("fb"):
-        dout = dy[:, :, None] * w["out"][k * HIDDEN : (k + 1) * HIDDEN]
-        gx, gh, gc = np.zeros_like(w[f"x{d}"]), np.zeros_like(w[f"h{d}"]), np.zeros_like(w[f"c{d}"])
-        dh, dc = np.zeros((p.pages, HIDDEN), np.float32), np.zeros((p.pages, HIDDEN), np.float32)
-        for t, h0, c0, i, f, o, gg, tc, mk in reversed(tapes[d]):
-            dh = dh + dout[t]
-            dhn, dcn = dh * mk, dc * mk
-            do = dhn * tc
-            dcn = dcn + dhn * o * (1 - tc * tc)
-            dz = np.concatenate((dcn * gg * i * (1 - i), dcn * c0 * f * (1 - f), do * o * (1 - o), dcn * i * (1 - gg * gg)), axis=1)
-            gx += x[t].T @ dz
-            gh += h0.T @ dz
-            gc += dz.sum(0)
-            dx[t] += dz @ w[f"x{d}"].T
-            dh, dc = dh * (1 - mk) + dz @ w[f"h{d}"].T, dc * (1 - mk) + dcn * f
-        g |= {f"x{d}": gx, f"h{d}": gh, f"c{d}": gc}
-    e = x.reshape(-1, EMBEDDED)[p.place]
-    de = dx.reshape(-1, EMBEDDED)[p.place] * (1 - e * e)
-    g["bias"], g["measure"] = de.sum(0), p.measured.T @ de
-    for name, lists in (("path", p.paths), ("word", p.words)):
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        table = np.zeros_like(w[name])
-        each = de if name == "path" else de / np.maximum(n, 1)[:, None].astype(np.float32)
-        np.add.at(table, np.fromiter((i for l in lists for i in l), np.int64, int(n.sum())), np.repeat(each, n, axis=0))
-        g[name] = table
-    return loss, g
-
-
-# --- training pages ------------------------------------------------------------------------------
-
-
-def composed_page(rng: random.Random) -> tuple[str, list[str]]:
-    """A page made up at random, and the blocks of its main text."""
-    letters = "etaoinshrdlucmfwygpbvkäöüéèñóß"
-    word = lambda: "".join(rng.choices(letters, weights=range(len(letters), 0, -1), k=rng.randint(2, 9)))
-    words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
-    sentence = lambda a=4, b=16: words(a, b).capitalize() + rng.choice(".....!?")
-    paragraph = lambda: " ".join(sentence() for _ in range(rng.randint(1, 7)))
-    pick = rng.choice
-    said: list[str] = []
-
-    def links(n: int, tag: str = "li") -> str:
-        return "".join(f'<{tag}><a href="/{word()}">{words(1, 3)}</a></{tag}>' for _ in range(n))
-
-    def main_blocks() -> str:
-        out = []
-
-        def put(tag: str, text: str, inner: str | None = None) -> None:
-            said.append(text)
-            out.append(f"<{tag}>{inner or text}" + ("" if tag == "p" and rng.random() < 0.2 else f"</{tag}>"))
-
-        if rng.random() < 0.15:
-            tiny = rng.randint(1, 3)
-        else:
-            tiny = 0
-        if rng.random() < 0.85:
-            put("h1", pick((words(2, 9).capitalize(), sentence())))
-        for _ in range(rng.randint(1, 9)):
-            kind = rng.random()
-            if kind < 0.65:
-                text = pick((paragraph, sentence, paragraph))() if not tiny else pick((paragraph(), sentence(1, tiny)))
-                first, _, rest = text.partition(" ")
-                put("p", text, pick((text, text, f"<b>{first}</b> {rest}", f"<b>{text}<br>", f'{first} <a href="#">{rest}</a>' if len(rest) < 60 else text)))
-            elif kind < 0.75:
-                put(pick(("h2", "h3")), words(1, 6).capitalize())
-            elif kind < 0.85:
-                out.append("<ul>")
-                for _ in range(rng.randint(2, 5)):
-                    put("li", pick((words(1, 6), sentence())))
-                out.append("</ul>")
-            elif kind < 0.9:
-                put("blockquote", paragraph())
-            elif kind < 0.94:
-                put("pre", words(3, 20))
-            elif kind < 0.97:
-                out.append("<table><tr>")
-                for _ in range(rng.randint(2, 6)):
-                    put("td", words(1, 3))
-                out.append("</tr></table>")
-            elif said:
-                out.append(f'<div class="{pick(("ad", "advert", "ads-inline", "promo"))}">{sentence()}</div>')
-        if not said or tiny:
-            put("p", sentence(1, tiny) if said else paragraph())
-        return "".join(out)
-
-    other = {
-        "menu": lambda: pick((f"<nav><ul>{links(rng.randint(2, 8))}</ul></nav>", f'<div class="{pick(("menu", "navbar", "nav main-nav", "navigation", "breadcrumbs"))}">{links(rng.randint(2, 7), pick(("span", "li", "div")))}</div>', f'<ul id="{pick(("menu", "nav", "topnav"))}">{links(rng.randint(2, 7))}</ul>')),
-        "header": lambda: pick((f"<header><p>{sentence()}</p></header>", f'<header class="site-header"><h2>{words(1, 4)}</h2><p>{sentence()}</p></header>', f'<div id="header"><span>{words(1, 4)}</span></div>', f'<div class="{pick(("masthead", "topbar", "banner", "logo"))}">{words(1, 5)}</div>')),
-        "footer": lambda: pick((f"<footer>&copy; {word()}.example.com &middot; {sentence()}</footer>", f"<footer><p>{sentence()}</p><ul>{links(3)}</ul></footer>", f'<div class="{pick(("footer", "site-footer", "copyright", "legal"))}"><p>{paragraph()}</p></div>', f'<div id="footer">{sentence()}</div>')),
-        "aside": lambda: pick((f"<aside><h3>{words(1, 3)}</h3><ul>{links(4)}</ul></aside>", f"<aside><p>{paragraph()}</p></aside>", f'<div class="{pick(("sidebar", "side-bar right", "widget", "related", "related-posts", "recommended"))}"><h3>{words(1, 3)}</h3><p>{sentence()}</p><ul>{links(3)}</ul></div>', f'<div id="sidebar"><p>{paragraph()}</p></div>')),
-        "notice": lambda: pick((f'<div class="{pick(("cookie", "cookie-notice", "cookie-banner", "consent", "gdpr", "notice", "alert", "popup", "modal", "newsletter", "subscribe", "overlay"))}"><p>{pick((sentence, paragraph))()}</p><button>{words(1, 2)}</button></div>', f'<div id="{pick(("cookie", "cookies", "consent", "notice"))}">{sentence()}</div>', f'<div role="{pick(("alert", "dialog", "banner"))}">{paragraph()}</div>')),
-        "ad": lambda: pick((f'<div class="{pick(("ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "ad-slot", "adsbygoogle", "teaser"))}">{pick((sentence, paragraph))()}</div>', f'<div id="{pick(("ad", "ads", "advert", "banner"))}"><p>{sentence()}</p></div>', f'<!-- ad --><ins class="adsbygoogle">{sentence()}</ins>', f'<section class="sponsored"><h3>{words(1, 4)}</h3><p>{paragraph()}</p></section>')),
-        "form": lambda: pick((f"<form><label>{words(1, 3)}</label><input><select><option>{word()}</option><option>{word()}</option></select><textarea>{words(1, 4)}</textarea><button>{word()}</button></form>", f'<form class="{pick(("search", "login", "signup", "contact-form"))}"><p>{sentence()}</p><label>{words(1, 2)} <input></label><button>{word()}</button></form>', f"<form><fieldset><legend>{words(1, 3)}</legend><p>{sentence()}</p></fieldset></form>")),
-        "comments": lambda: (lambda tag: f'<{tag} {pick(("class", "id"))}="{pick(("comments", "comment-list", "comments-area", "reader-comments", "discussion", "replies", "responses", "disqus_thread"))}"><h3>{words(1, 3)}</h3>' + "".join(f'<{pick(("div", "article", "li"))} class="{pick(("comment", "reply", "comment-body"))}"><b>{word()}</b><p>{pick((sentence, paragraph))()}</p></div>' for _ in range(rng.randint(1, 4))) + f"</{tag}>")(pick(("div", "section"))),
-        "share": lambda: f'<div class="{pick(("share", "social", "tags", "meta", "byline-links", "pagination", "toolbar"))}">{links(rng.randint(2, 4), "span")}</div>',
-    }
-    before = [other[k]() for k in ("header", "menu", "notice", "ad", "form", "aside", "share") if rng.random() < 0.4]
-    after = [other[k]() for k in ("share", "comments", "aside", "ad", "form", "menu", "notice", "footer") if rng.random() < 0.4]
-    rng.shuffle(before)
-    body = main_blocks()
-    box = pick(("<article>{}</article>", "<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div class="post-content entry">{}</div>', '<div id="main"><div class="article-body">{}</div></div>', '<div id="content">{}</div>', '<section class="story">{}</section>', "<div>{}</div>", "{}"))
-    if rng.random() < 0.2:
-        inner = pick((other["ad"], other["share"], other["aside"], other["comments"]))()
-        body = body + inner
-    if rng.random() < 0.3:
-        before = [f"<div>{''.join(before)}</div>"]
-    page = f"<html><head><title>{words(2, 6)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>{''.join(before)}{box.format(body)}{''.join(after)}</body></html>"
-    return page, said
-
-
-def training_pages(n: int, seed: int) -> list[tuple[tuple[list, list, np.ndarray], np.ndarray]]:
-    rng, out = random.Random(seed), []
-    for _ in range(n):
-        page, said = composed_page(rng)
-        blocks = parse_blocks(page)
-        left = [WHITE.sub(" ", html.unescape(s)).strip() for s in said]
-        y = np.zeros(len(blocks), np.float32)
-        at = 0
-        for i, b in enumerate(blocks):  # main blocks come in order
-            if b.text in left[at:]:
-                at += left[at:].index(b.text) + 1
-                y[i] = 1
-        out.append((features(blocks), y))
-    return out
-
-
-def train(pages: int = 1500, epochs: int = 8, seed: int = 3) -> dict[str, np.ndarray]:
-    """Weights after Adam on composed pages; the seed fixes pages, start and order."""
-    data = training_pages(pages, seed)
-    w = new_weights(seed)
-    first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    rng, step = np.random.default_rng(seed), 0
-    by_length = sorted(range(len(data)), key=lambda i: len(data[i][1]))
-    batches = [by_length[i : i + 30] for i in range(0, len(by_length), 30)]
-    for epoch in range(epochs):
-        for b in rng.permutation(len(batches)):
-            p = padded([data[i][0] for i in batches[b]])
-            target = np.zeros(p.steps * p.pages, np.float32)
-            target[p.place] = np.concatenate([data[i][1] for i in batches[b]])
-            _, g = gradients(p, target.reshape(p.steps, p.pages), w)
-            step += 1
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            for k in w:
-                d = g[k] * min(1.0, 1.0 / (norm + 1e-9))
-                first[k] = 0.9 * first[k] + 0.1 * d
-                second[k] = 0.99 * second[k] + 0.01 * d * d
-                w[k] -= (0.02 * (1 - epoch / epochs) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-    return w
-
-
-_trained: list[dict[str, np.ndarray]] = []
-
-
-def weights() -> dict[str, np.ndarray]:
-    if not _trained:
-        _trained.append(train())
-    return _trained[0]
+@lru_cache(maxsize=1)
+def model() -> tuple[dict[str, np.ndarray], Vocabulary]:
+    """The stored weights and the vocabulary of tag paths."""
+    with np.load(WEIGHTS) as f:
+        w = {k: f[k].astype(np.float32) for k in f.files if k != "tokens"}
+        return w, Vocabulary(json.loads(f["tokens"].tobytes().decode()))
 
 
-def main_texts(pages: list[str | None], w: dict[str, np.ndarray]) -> list[str]:
+def main_texts(pages: list[str | None], w: dict[str, np.ndarray], vocabulary: Vocabulary) -> list[str]:
     """The main text of each page."""
-    parsed = [parse_blocks(p) if p else [] for p in pages]
+    parsed = [parse_blocks(p, vocabulary) if p else [] for p in pages]
     scores = label([features(b) for b in parsed], w)
     return ["\n\n".join(b.text for b, s in zip(blocks, y, strict=True) if s >= THRESHOLD) for blocks, y in zip(parsed, scores, strict=True)]
 
@@ -461,22 +414,22 @@ def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
 
     Character references are decoded, white space in a block becomes one space, blocks are joined
     by an empty line, nothing else is dropped or cut. Null or empty html, and pages without a main
-    block, give an empty text. Rows are independent; other columns stay (those named text or
-    n_chars are replaced).
+    block, give an empty text; an empty table gives no rows. Rows are independent, repeats included;
+    other columns stay (those named text or n_chars, in any case, are replaced).
     """
-    own = [c for c in pages.columns if c not in (column, "text", "n_chars")]
+    own = [c for c in pages.columns if c.lower() not in (column.lower(), "text", "n_chars")]
     schema = pages.select(*own).schema.add("text", "string").add("n_chars", "long")
     bound_arrow_batches(pages.sparkSession)
-    w = weights()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, vocabulary = model()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                texts = main_texts(part.column(len(own)).to_pylist(), w)
+                texts = main_texts(part.column(len(own)).to_pylist(), w, vocabulary)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*own, "text", "n_chars"])
 
-    return pages.select(*own, column).mapInArrow(work, schema)
+    return pages.select(*own, F.col(column).cast("string").alias(column)).mapInArrow(work, schema)
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from perron.llm import ann, html, langid, minhash, mixing, packing, pii, quality, sharding, warc
+from perron.llm import ann, langid, minhash, mixing, packing, pii, quality, sharding, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(1, "a b c"), (2, None), (3, ""), (4, " \t\n"), (5, "word " * 30_000), (6, "x" * 100_000), (6, "x" * 100_000), (None, "no id"), (7, "é 😀 İ")]
@@ -81,15 +81,6 @@ def test_redact(spark, odd):
     assert pii.redact(odd).count() == len(ODD)
 
 
-def test_html():
-    w = html.weights()
-    held = html.training_pages(150, 77)
-    right = [((y >= 0.5) == (t > 0.5)).mean() for y, (_, t) in zip(html.label([x for x, _ in held], w), held, strict=True)]
-    assert np.mean(right) > 0.99
-    page = "<html><head><title>t</title></head><body><nav><a href=x>Menu</a></nav><article><h1>Big   news &amp; more</h1><p>It was <b>said</b> today.<p>More.</article><footer>&copy; us</footer>"
-    assert html.main_texts([page, None, "", "<<<>"], w)[:3] == ["Big news & more\n\nIt was said today.\n\nMore.", "", ""]
-
-
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16))
