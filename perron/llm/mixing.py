@@ -1,14 +1,11 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
 Golden-ratio points, taken one per slot, are mapped through the cumulative target weights of the
-sources, so every stretch of the schedule holds each source near its weight. By the method, slots
-are ranked per source and slot k of a source takes block k of that source's shuffled stream of
-words, read in a circle, in blocks of equal length.
-
-A shortcut is taken: ``mix`` only counts a source's slots, adds the rest of its target, and takes that
-many words from the start of the circle. Slots are not ranked (``ranked_slots`` is called by tests only) and
-not joined with blocks, no output carries the schedule, and ``mixed_documents`` is not interleaved: the copies
-of a document follow each other in scan order. Only narrow rows are sorted, texts are never shuffled.
+sources, so every stretch of the schedule holds each source near its weight. Slots are ranked per
+source, and slot k of a source takes block k of that source's shuffled stream of words, read in a
+circle, in blocks of equal length: ranked slots are joined with the blocks' parts of documents. What
+a document gives is the sum of its parts in the blocks that the schedule takes; the mixed documents
+come in the order of the slots. Ranking and joining move narrow rows only.
 """
 
 from __future__ import annotations
@@ -17,16 +14,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perron.operators.prefix import prefix_sums
-from perron.plans.late import filter_late
-from perron.staging import stage
+from perron.plans.late import fresh
+from perron.staging import discard, stage
 
 #: 2**32 / golden ratio, odd: j * STEP mod 2**32 is the golden-ratio sequence on a 32-bit circle.
 STEP = 2654435769
 CIRCLE = 1 << 32
 CELL_BITS = 12
 CHUNK = 1 << 16
+#: There are at least SLOTS slots unless the words are fewer, and a block has at most BLOCK words.
+SLOTS = 1 << 16
+BLOCK = 4096
 #: Frames of at most this many rows (counted first) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 10_000
+#: Slots of the blocks that follow the schedule.
+LATE = 1 << 60
 
 
 def word_count(text: Column) -> Column:
@@ -72,21 +74,7 @@ def source_targets(sizes: DataFrame, pattern: tuple[int, ...] = (1, 2, 3), most:
     )
 
 
-def slot_plan(targets: DataFrame, slots: int = 1 << 20, block: int = 4096) -> tuple[DataFrame, int]:
-    """Slots per source: ``(source, slots, rest)`` and the words of a block.
-
-    There are at least ``slots`` slots unless the words are fewer, and a block has at most
-    ``block`` words, so the number of slots grows with the corpus. ``rest`` is what the slots'
-    whole blocks leave of the source's target, in words: a partial block of its own for a source
-    with too few slots or none, and negative, a last block cut short, for one with too many.
-    """
-    schedule, length = schedule_slots(targets, slots, block)
-    counts = schedule.groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
-    found = targets.alias("t").join(counts.alias("c"), F.expr("t.source <=> c.source"), "left").select("t.source", "t.target", F.coalesce("c.slots", F.lit(0)).alias("slots"))
-    return found.select("source", "slots", (F.round("target").cast("long") - F.col("slots") * length).alias("rest")), length
-
-
-def schedule_slots(targets: DataFrame, slots: int = 1 << 20, block: int = 4096) -> tuple[DataFrame, int]:
+def schedule_slots(targets: DataFrame, slots: int = SLOTS, block: int = BLOCK) -> tuple[DataFrame, int]:
     """The schedule: rows ``(slot, source)`` and the words of a block.
 
     Slot j's point is j / golden ratio mod 1; the source is the one whose stretch of the cumulative
@@ -124,74 +112,109 @@ def ranked_slots(schedule: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, pattern: tuple[int, ...] = (1, 2, 3), most: int = 3, slots: int = 1 << 20, block: int = 4096) -> DataFrame:
-    """``docs`` with the words that the mix takes from each row.
+def shuffle_key() -> Column:
+    """A document's place in its source's shuffled stream, from its id and text alone."""
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
-    Adds ``_size``, ``_source_size``, ``_target`` and ``_taken``; input columns that already have
-    one of these names are replaced. Order within a source: hash of (doc_id, text), then doc_id;
-    rows equal in these are one group whose share is split evenly (rounded down; it differs only at
-    the one cut of a source). A source's slots and its rest take its target, rounded to a word, of its
-    circle whatever its size; that is at most ``most`` times its size, so no row gives more than
-    ``most`` times its own size. Null source is a
-    source of its own, null text has size 0, an empty table gives no rows.
+
+def block_plan(targets: DataFrame, slots: int = SLOTS, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """The blocks that the mix takes, ``(source, k, slot, words)``, and the words of a whole block.
+
+    Slot k of a source takes its block k until its target, rounded to a word, is reached; the last
+    block is cut there and later slots take nothing. Where a source has too few slots (a target of
+    less than a block, or the discrepancy of the points), its further blocks follow after the
+    schedule, so every source gets its target to the word.
     """
-    keyed = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_h", F.xxhash64("doc_id", "text"))
-    groups = stage(
-        keyed.groupBy("source", "_h", "doc_id", "_size").agg(F.count(F.lit(1)).alias("_m")).withColumn("_g", F.col("_size") * F.col("_m")),
-        "mix-groups",
-    )
-    sizes = stage(groups.groupBy("source").agg(F.sum("_g").cast("long").alias("source_size")), "source-sizes")
-    targets = source_targets(sizes, pattern, most)
-    plan, length = slot_plan(targets, slots, block)
-    plan = (
-        targets.alias("t")
-        .join(plan.alias("p"), F.expr("t.source <=> p.source"))
-        .select("t.source", "t.source_size", "t.target", F.least(F.col("p.slots") * length + F.col("p.rest"), F.col("t.source_size") * most).alias("_words"))
-    )
-    plan = stage(
-        plan.withColumn("_full", F.expr("if(source_size > 0, _words div source_size, 0L)")).withColumn("_rest", F.expr("if(source_size > 0, _words % source_size, 0L)")),
-        "mix-plan",
-    )
-    # The row of each source at which the last, partial round ends.
-    line = prefix_sums(groups.withColumn("_null", F.col("source").isNull()).drop("_m"), ["_null", "source", "_h", "doc_id"], ["_g"], "_i")
-    line = stage(line.where("_g > 0"), "mix-line")
-    starts = line.groupBy("source").agg(F.min("_g_before").alias("_start"))
-    plan = small(stage(plan.alias("p").join(starts.alias("s"), F.expr("p.source <=> s.source"), "left").select("p.*", "s._start"), "mix-starts"))
-    at = F.expr("l._g_before - p._start")
-    cuts = (
-        line.alias("l")
-        .join(plan.alias("p"), F.expr("l.source <=> p.source"))
-        .where((at <= F.col("p._rest")) & (F.col("p._rest") < at + F.col("l._g")))
-        .select("l.source", F.col("l._h").alias("_cut_h"), F.col("l.doc_id").alias("_cut_id"), (F.col("p._rest") - at).alias("_part"), F.col("l._g").alias("_cut_g"))
+    schedule, length = schedule_slots(targets, slots, block)
+    need = targets.select("source", F.least(F.round("target").cast("long"), "most_words").alias("words")).where("words > 0")
+    every = need.select("source", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / length))).alias("k"))
+    joined = every.alias("e").join(ranked_slots(schedule).alias("s"), F.expr("e.source <=> s.source AND e.k = s.k"), "left")
+    late = F.lit(LATE) + F.col("e.k")
+    plan = joined.select("e.source", "e.k", F.coalesce("s.slot", late).alias("slot"), F.least(F.lit(length).cast("long"), F.col("e.words") - F.col("e.k") * length).alias("words"))
+    return stage(plan, "blocks"), length
+
+
+def taken_parts(docs: DataFrame, pattern: tuple[int, ...] = (1, 2, 3), most: int = 3, slots: int = SLOTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """What the mix takes: ``rows`` (source, key, id, size, source_size, target, copies), one for every
+    distinct document, and ``parts`` (source, key, id, lap, words, slot), the words taken of it in each
+    round through its source's stream and the first slot that takes some."""
+    rows = docs.select("source", shuffle_key().alias("key"), F.col("doc_id").cast("long").alias("id"), word_count(F.col("text")).alias("size"))
+    groups = stage(rows.groupBy("source", "key", "id", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("g", F.col("size") * F.col("copies")), "mix-groups")
+    sizes = stage(groups.groupBy("source").agg(F.sum("g").cast("long").alias("source_size")), "source-sizes")
+    targets = source_targets(sizes, pattern, most).withColumn("most_words", F.col("source_size") * most)
+    plan, length = block_plan(targets, slots, block)
+
+    line = stage(prefix_sums(groups.where("g > 0").withColumn("_null", F.col("source").isNull()), ["_null", "source", "key", "id"], ["g"], "_i"), "mix-line")
+    starts = line.groupBy("source").agg(F.min("g_before").alias("start"))
+    heads = targets.alias("t").join(starts.alias("s"), F.expr("t.source <=> s.source")).select("t.source", "t.source_size", F.least(F.round("t.target").cast("long"), "t.most_words").alias("want"), "s.start")
+    heads = small(stage(heads.where("want > 0"), "mix-starts"))
+    # Every round through the stream, as far as the target reaches, cut into blocks.
+    laps = (
+        line.alias("l").join(heads.alias("h"), F.expr("l.source <=> h.source"))
+        .select("l.source", "l.key", "l.id", "l.g", "h.want", "h.source_size", (F.col("l.g_before") - F.col("h.start")).alias("at"), F.explode(F.expr("sequence(0L, (h.want - 1) div h.source_size)")).alias("lap"))
+        .select("source", "key", "id", "lap", (F.col("lap") * F.col("source_size") + F.col("at")).alias("a"), F.least(F.col("lap") * F.col("source_size") + F.col("at") + F.col("g"), "want").alias("b"))
+        .where("a < b")
+        .select("*", F.explode(F.expr(f"sequence(a div {length}L, (b - 1) div {length}L)")).alias("k"))
     )
-    final = small(
-        stage(
-            plan.alias("p").join(cuts.alias("c"), F.expr("p.source <=> c.source"), "left").select(
-                F.col("p.source").alias("_s"), F.col("p.source_size").alias("_source_size"), F.col("p.target").alias("_target"), "p._full", "c._cut_h", "c._cut_id", "c._part", "c._cut_g"
-            ),
-            "mix-cuts",
-        )
+    overlap = F.expr(f"least(d.b, d.k * {length}L + p.words) - greatest(d.a, d.k * {length}L)")
+    joined = laps.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source AND d.k = p.k")).select("d.source", "d.key", "d.id", "d.lap", "p.slot", overlap.alias("w")).where("w > 0")
+    parts = stage(joined.groupBy("source", "key", "id", "lap").agg(F.sum("w").alias("words"), F.min("slot").alias("slot")), "mix-parts")
+    known = targets.select("source", "source_size", "target")
+    known = small(stage(known, "mix-targets"))
+    rows = stage(groups.alias("g").join(known.alias("t"), F.expr("g.source <=> t.source")).select("g.source", "g.key", "g.id", "g.size", "t.source_size", "t.target", "g.copies"), "mix-rows")
+    discard(groups, line, plan)
+    return rows, parts
+
+
+def mix(docs: DataFrame, pattern: tuple[int, ...] = (1, 2, 3), most: int = 3, slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
+    """``docs`` with the words that the mix takes from each row.
+
+    Adds ``_size``, ``_source_size``, ``_target``, ``_taken`` and ``_slot``, the first slot that takes
+    words of the row (null: none); input columns of these names, in any case, are replaced, all others
+    stay as they are. A source's stream is ordered by a hash of (doc_id, text); rows equal in both are
+    one document whose words are split evenly among them (rounded down). A source gives its target,
+    rounded to a word, whatever its size, and no row more than ``most`` times its own size. Null
+    source is a source of its own, null text has size 0, an empty table gives no rows.
+    """
+    rows, parts = taken_parts(docs, pattern, most, slots, block)
+    whole = parts.groupBy("source", "key", "id").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    found = rows.alias("r").join(whole.alias("w"), F.expr("r.source <=> w.source AND r.key = w.key AND r.id <=> w.id"), "left").select(
+        "r.*", F.expr("coalesce(w.words, 0L) div r.copies").alias("taken"), "w.slot"
     )
-    own = [c for c in docs.columns if c not in ("_size", "_source_size", "_target", "_taken")]
-    before = F.expr("_h < _cut_h OR (_h = _cut_h AND doc_id IS NULL AND _cut_id IS NOT NULL) OR (_h = _cut_h AND doc_id < _cut_id)")
-    here = F.expr("_h = _cut_h AND doc_id <=> _cut_id")
-    part = F.when(here, F.expr("if(_cut_g > 0, (_part * _size) div _cut_g, 0L)")).when(before, F.col("_size")).otherwise(F.lit(0))
-    return keyed.join(final, F.expr("source <=> _s")).select(*own, "_size", "_source_size", "_target", (F.col("_full") * F.col("_size") + part).cast("long").alias("_taken"))
+    added = {"_size": "size", "_source_size": "source_size", "_target": "target", "_taken": "taken", "_slot": "slot"}
+    own = [c for c in docs.columns if c.lower() not in added]
+    return _joined(docs, found, own, [F.col(f"m.{v}").alias(k) for k, v in added.items()])
+
+
+def _joined(docs: DataFrame, found: DataFrame, own: list[str], more: list[Column], how: str = "inner") -> DataFrame:
+    """Rows of ``docs`` with what ``found`` (source, key, id, ...) says of their documents."""
+    (key,) = fresh(docs.columns, "key")
+    match = f"d.source <=> m.source AND d.`{key}` = m.key AND cast(d.doc_id AS long) <=> m.id"
+    return docs.withColumn(key, shuffle_key()).alias("d").join(found.alias("m"), F.expr(match), how).select(*[F.col(f"d.`{c}`") for c in own], *more)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix holds them: a row is repeated once for every time it is taken whole;
-    what is taken of it beyond that counts as once more from half of its words on. A row without
-    words is kept once."""
-    columns = docs.columns
-    times = F.expr("if(_size = 0, 1, cast((2 * _taken + _size) div (2 * _size) as int))")
-    counted = filter_late(mix(docs, **options).select(*columns, times.alias("_times")), F.col("_times") > 0)
-    return counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*columns)
+    """``docs`` as the mix holds them, in the order of its schedule.
+
+    A row comes once for every round through its source in which the mix takes at least half of its
+    words, at the first slot that takes some; a row without words comes once, at the start. Columns
+    stay as they are.
+    """
+    rows, parts = taken_parts(docs, **options)
+    taken = rows.alias("r").join(parts.alias("p"), F.expr("r.source <=> p.source AND r.key = p.key AND r.id <=> p.id"), "left")
+    copies = taken.where("r.size = 0 OR 2 * p.words >= r.size * r.copies").select("r.source", "r.key", "r.id", F.coalesce("p.slot", F.lit(-1)).alias("slot"))
+    (slot,) = fresh(docs.columns, "slot")
+    placed = _joined(docs, stage(copies, "mix-copies"), docs.columns, [F.col("m.slot").alias(slot)])
+    return placed.repartitionByRange(F.col(slot), F.col("doc_id")).sortWithinPartitions(slot, "doc_id").drop(slot)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), "source"
-    )
+    rows, parts = taken_parts(docs)
+    whole = parts.groupBy("source", "key", "id").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    found = rows.alias("r").join(whole.alias("w"), F.expr("r.source <=> w.source AND r.key = w.key AND r.id <=> w.id"), "left")
+    # Repeated rows are counted, so the narrow table has all that is returned.
+    every = found.select("r.*", F.expr("coalesce(w.words, 0L) div r.copies").alias("taken"), F.col("w.slot").alias("first_slot")).withColumn("_copy", F.explode(F.expr("sequence(1L, copies)")))
+    return every.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot", "source")

@@ -37,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_sharding": sql.sharding(),
+        "op2_mixing": sql.mixing(),
         "op7_warc": sql.archives(),
         "op8_minhash": sql.near_duplicates(),
         "op9_quality": sql.quality(),

@@ -6,6 +6,7 @@ windows as rows), so that an agreement of the two forms is evidence for both.
 
 from __future__ import annotations
 
+from perron.llm.mixing import BLOCK, CIRCLE, LATE, SLOTS, STEP
 from perron.llm.quality import (
     COMMON_WORDS,
     MAX_CLASS_DISTANCE,
@@ -39,6 +40,33 @@ def sharding(shards: int = 24, overhead: int = 8) -> str:
     FROM cut, crc"""
 
 
+def mixing(pattern: tuple[int, ...] = (1, 2, 3), most: int = 3) -> str:
+    """Targets by water-filling, golden-ratio slots ranked per source, blocks of each source's stream by interval overlap."""
+    weights = "[" + ", ".join(map(str, pattern)) + "]"
+    return f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')), 1, 15))::BIGINT AS key FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM d GROUP BY source),
+    c AS (SELECT *, {weights}[rank % {len(pattern)} + 1]::BIGINT AS weight, source_size * {most} AS cap, (source_size * {most})::DOUBLE / {weights}[rank % {len(pattern)} + 1] AS ratio FROM s),
+    l AS (SELECT *, (sum(source_size) OVER () - (sum(cap) OVER w - cap))::DOUBLE / (sum(weight) OVER () - (sum(weight) OVER w - weight)) AS level FROM c WINDOW w AS (ORDER BY ratio, rank ROWS UNBOUNDED PRECEDING)),
+    t AS MATERIALIZED (SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT arg_min(level, (ratio, rank)) FROM l WHERE level <= ratio), 0.0) * weight) AS target,
+        row_number() OVER (ORDER BY source IS NULL, source) AS i FROM l),
+    n AS MATERIALIZED (SELECT greatest(1, least({BLOCK}, (sum(source_size) + {SLOTS - 1}) // {SLOTS}))::BIGINT AS len, sum(source_size)::BIGINT // greatest(1, least({BLOCK}, (sum(source_size) + {SLOTS - 1}) // {SLOTS}))::BIGINT AS slots FROM t),
+    st AS (SELECT source, floor((after - part)::DOUBLE / total * {CIRCLE})::BIGINT AS lo, floor(after::DOUBLE / total * {CIRCLE})::BIGINT AS hi
+        FROM (SELECT source, ceil(target)::BIGINT AS part, (sum(ceil(target)) OVER (ORDER BY i))::BIGINT AS after, (sum(ceil(target)) OVER ())::BIGINT AS total FROM t) WHERE total > 0),
+    p AS (SELECT j AS slot, (j * {STEP}) % {CIRCLE} AS u FROM n, range(slots) r(j)),
+    r AS MATERIALIZED (SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM p JOIN st ON u >= lo AND u < hi),
+    w AS (SELECT source, source_size, least(round(target)::BIGINT, source_size * {most}) AS want FROM t),
+    b AS MATERIALIZED (SELECT w.source, e.k, coalesce(slot, {LATE} + e.k) AS slot, e.k * len AS lo, least((e.k + 1) * len, want) AS hi
+        FROM w, n, unnest(range((want + len - 1) // len)) e(k) LEFT JOIN r ON r.source IS NOT DISTINCT FROM w.source AND r.k = e.k),
+    g AS (SELECT rid, source, size, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, rid ROWS UNBOUNDED PRECEDING) - size AS pos FROM d),
+    o AS (SELECT rid, g.source, lap * source_size + pos AS lo, least(lap * source_size + pos + size, want) AS hi
+        FROM g JOIN w ON w.source IS NOT DISTINCT FROM g.source, unnest(range((want + source_size - 1) // greatest(source_size, 1))) x(lap) WHERE size > 0),
+    m AS (SELECT rid, sum(least(o.hi, b.hi) - greatest(o.lo, b.lo))::BIGINT AS taken, min(slot) AS first_slot
+        FROM (SELECT *, unnest(range((lo // len)::BIGINT, ((hi - 1) // len + 1)::BIGINT)) AS k FROM o, n WHERE lo < hi) o JOIN b ON b.source IS NOT DISTINCT FROM o.source AND b.k = o.k GROUP BY rid)
+    SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot, d.source FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN m USING (rid)"""
+
+
 def archives() -> str:
     """What reading the archives back must say about every page."""
     return f"""

@@ -47,6 +47,54 @@ def test_mixing(odd, docs):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixed_documents(spark):
+    """Copies as the parts say, in the order of the schedule, so that sources alternate."""
+    texts = [(100 * s + d, f"s{s}", " ".join(f"w{s}x{d}x{i}" for i in range(20 + 7 * d))) for s in range(3) for d in range(30)]
+    docs = spark.createDataFrame([*texts, (1000, "s0", None)], "doc_id long, source string, text string")
+    taken = {r["doc_id"]: r for r in mixing.mix(docs, block=16).collect()}
+    rows = mixing.mixed_documents(docs, block=16).collect()
+    count = {i: sum(r["doc_id"] == i for r in rows) for i in taken}
+    for i, r in taken.items():
+        assert count[i] == 1 if r["_size"] == 0 else abs(count[i] - r["_taken"] / r["_size"]) <= 0.5
+    first = {}
+    for place, r in enumerate(rows):
+        first.setdefault(r["doc_id"], place)
+    assert rows[0]["doc_id"] == 1000
+    by_slot = sorted((r["_slot"], i) for i, r in taken.items() if r["_size"] and count[i])
+    seen = sorted(i for _, i in by_slot[:20])
+    assert len(set(seen) & {i for i, p in first.items() if p <= 40}) >= 15
+    half = [r["source"] for r in rows[: len(rows) // 2]]
+    assert {s: abs(half.count(s) / len(half) - sum(r["source"] == s for r in rows) / len(rows)) < 0.1 for s in set(half)} == dict.fromkeys(("s0", "s1", "s2"), True)
+
+
+def test_mixing_by_hand(spark):
+    """A plain reading of the method: slots ranked per source, block k of the stream for slot k."""
+    rows = [(10 * s + d, f"s{s}", " ".join(f"w{i}" for i in range(5 + 3 * d + s))) for s in range(4) for d in range(9)] + [(99, None, "one two"), (98, "s0", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    key = {r[0]: r[1] for r in docs.select("doc_id", mixing.shuffle_key()).collect()}
+    size = {i: len(WORD.findall(t)) for i, _, t in rows}
+    total = sum(size.values())
+    length = max(1, min(8, -(-total // 16)))
+    got = {r["doc_id"]: r for r in mixing.mix(docs, slots=16, block=8).collect()}
+    target = {s: got[i]["_target"] for i, s, _ in rows}
+    order = sorted(target, key=lambda s: (s is None, s or ""))
+    width = [-(-target[s] // 1) for s in order]
+    edges = [int(sum(width[:k]) / sum(width) * 2**32) for k in range(len(width) + 1)]
+    stream = {s: [i for i in sorted(size, key=lambda i: key[i]) for _ in range(size[i]) if dict((a, b) for a, b, _ in rows)[i] == s] for s in order}
+    want, slots, rank = dict.fromkeys(size, 0), {}, dict.fromkeys(order, 0)
+    need = {s: round(target[s]) for s in order}
+    for j in [*range(total // length), *[mixing.LATE + k for k in range(40) for _ in order]]:
+        for n, s in enumerate(order):
+            hit = edges[n] <= j * mixing.STEP % 2**32 < edges[n + 1] if j < mixing.LATE else rank[s] == j - mixing.LATE
+            if hit:
+                for w in range(rank[s] * length, min((rank[s] + 1) * length, need[s])):
+                    i = stream[s][w % len(stream[s])]
+                    want[i] += 1
+                    slots[i] = min(slots.get(i, j), j)
+                rank[s] += 1
+    assert {i: (r["_taken"], r["_slot"]) for i, r in got.items()} == {i: (want[i], slots.get(i)) for i in size}
+
+
 def test_mixing_tiny_sources(spark):
     """Sources of any size get their target, those far smaller than a block too."""
     large = [(100 * s + d, f"L{s:02}", " ".join(f"w{s}x{d}x{i}" for i in range(500))) for s in range(10) for d in range(4)]
