@@ -152,7 +152,8 @@ def pivot_pairs(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Memberships ``(key, node)`` of the buckets with several members, and the distinct pairs
     ``(a, b)`` of a member and a pivot of its buckets whose sizes can reach the threshold."""
     banded = nodes.select("node", "n", F.explode("keys").alias("key"))
-    full = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # Staged, so that the joins by key are of two shuffled sides, whose hot partitions Spark splits.
+    full = stage(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "counts")
     shared = stage(banded.join(full, "key"), "buckets")
     degree = shared.groupBy("node").agg(F.sum("m").alias("degree"))
     ranked = shared.join(degree, "node").select("key", F.struct("degree", "node", "n").alias("p"))
@@ -170,6 +171,7 @@ def outsider_pairs(shared: DataFrame, sets: DataFrame, components: DataFrame, pe
     members = stage(members, "members")
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     open_ = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "main")
+    open_ = stage(open_, "mains")
     told = members.join(open_, "key").join(sets.select("node", F.size("shingles").alias("n"), "bits", "excess"), "node")
     told = stage(told, "open")
     pairs = told.where("component <> main").alias("x").join(
@@ -179,7 +181,7 @@ def outsider_pairs(shared: DataFrame, sets: DataFrame, components: DataFrame, pe
     )
     ends = "least(struct(x.node AS node, x.component AS c), struct(p.node AS node, p.component AS c))", "greatest(struct(x.node AS node, x.component AS c), struct(p.node AS node, p.component AS c))"
     found = stage(pairs.selectExpr(f"{ends[0]} AS a", f"{ends[1]} AS b").select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.c").alias("ca"), F.col("b.c").alias("cb")).distinct(), "asked")
-    discard(members, told)
+    discard(members, open_, told)
     return found
 
 
