@@ -39,6 +39,7 @@ KINDS: dict[str, tuple[str, str, float, str, float]] = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|tel|call|mobile|fax", 0.0),
     "iban": (_iban(), "", 0.7, "iban|account|bank|konto|compte|cuenta", 0.6),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, "ssn|social|security", 0.5),
+    "secret": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", "", 0.3, "token|secret|passw|api.?key|credential|bearer|auth|clave|passe", 0.5),
 }
 BASE = ("email", "ip", "card", "phone")
 CONTEXT_CHARS = 40
@@ -70,6 +71,7 @@ VALID = {
     "card": f"length({_digits('x.m')}) BETWEEN 13 AND 19 AND {_luhn(_digits('x.m'))}",
     "phone": f"length({_digits('x.m')}) BETWEEN 9 AND 15",
     "iban": _mod97("x.m"),
+    "secret": "x.m rlike '[0-9]' AND x.m rlike '[A-Za-z]'",
     "ssn": "substr(x.m, 1, 3) NOT IN ('000', '666') AND substr(x.m, 1, 1) <> '9'",
 }
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"

@@ -75,11 +75,11 @@ def test_whole_table(spark):
 
 
 def test_added_kinds(spark):
-    said = ["DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89370400440532013000 NOW", "DE89 3704 0044 0532 0130 00 2024-01-01", "DE89 3704 0044 0532 0130 01", "xDE89370400440532013000", "DE89370400440532013000x", "social security 123-45-6789, 321-54-9876", "123-45-6789", "NO93 8601 1117 947 GB82 WEST 1234 5698 7654 32"]
+    said = ["DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89370400440532013000 NOW", "DE89 3704 0044 0532 0130 00 2024-01-01", "DE89 3704 0044 0532 0130 01", "xDE89370400440532013000", "DE89370400440532013000x", "social security 123-45-6789, 321-54-9876", "123-45-6789", "NO93 8601 1117 947 GB82 WEST 1234 5698 7654 32", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x', "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962", "password: correcthorsebatterystaple"]
     df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
     got = {r["doc_id"]: [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["spans"] if s["kind"] not in pii.BASE] for r in pii.find_pii(df).collect()}
     de = "DE89 3704 0044 0532 0130 00"
-    assert got == {0: [("iban", de)], 1: [("iban", "DE89370400440532013000")], 2: [("iban", de)], 3: [], 4: [], 5: [], 6: [("ssn", "123-45-6789"), ("ssn", "321-54-9876")], 7: [], 8: [("iban", "NO93 8601 1117 947"), ("iban", "GB82 WEST 1234 5698 7654 32")]}
+    assert got == {0: [("iban", de)], 1: [("iban", "DE89370400440532013000")], 2: [("iban", de)], 3: [], 4: [], 5: [], 6: [("ssn", "123-45-6789"), ("ssn", "321-54-9876")], 7: [], 8: [("iban", "NO93 8601 1117 947"), ("iban", "GB82 WEST 1234 5698 7654 32")], 9: [("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")], 10: [], 11: []}
 
 
 def test_many_matches(spark):
