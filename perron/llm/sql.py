@@ -13,6 +13,7 @@ from perron.llm.quality import (
     MAX_REPEAT_PERCENT,
     MAX_WORD_DISTANCE,
     MIN_CLASS_CHARS,
+    MIN_LISTED_SHARE,
     MIN_REFERENCE_CHARS,
     MIN_WORD_WORDS,
     MIN_WORDS,
@@ -106,7 +107,6 @@ def quality() -> str:
     n_classes, n_words = 7, len(COMMON_WORDS) + 1
     sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])" for i in range(n)) + "]"
     share = lambda c: f"list_transform({c}, lambda x: x / greatest(list_sum({c}), 1.0))"
-    far = lambda c, r: f"CASE WHEN count({r}) = 0 THEN 0.0 ELSE least(min({_distance(c, r)}), 1.0) END"
     return f"""
     WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
     win AS (SELECT rid, unnest(list_transform(range(1, len(ws) - 1), lambda i: {{'p': i, 'w': ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]}})) AS x FROM d WHERE len(ws) > 3),
@@ -114,14 +114,14 @@ def quality() -> str:
     rep AS (SELECT rid, count(DISTINCT p + o) AS n FROM twice, range(3) t(o) GROUP BY rid),
     b AS (SELECT rid, doc_id, lang, ws, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, {count(SYMBOLS)} AS n_symbols, length(text)::BIGINT AS chars,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ln, {count('[A-Z]')} AS upper, {count('[0-9]')} AS digit,
-        {count('''[.,;:!?''"()\\[\\]{}/\\\\=+~^_@`-]''')} AS punct, (octet_length(encode(text)) - length(text))::BIGINT AS nonascii FROM d),
+        {count('''[.,;:!?''"()\\[\\]{}/\\\\=+~^_@`-]''')} AS punct, {count('[^\\x00-\\x7F]')} AS nonascii FROM d),
     h AS MATERIALIZED (SELECT rid, doc_id, lang, n_words, word_chars, n_symbols, chars, (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-        [(chars - word_chars)::DOUBLE, upper, digit, n_symbols, punct, nonascii, greatest(0, word_chars - upper - digit - n_symbols - punct - nonascii)] AS classes,
+        [(chars - word_chars)::DOUBLE, upper, digit, n_symbols, punct, nonascii, word_chars - upper - digit - n_symbols - punct - nonascii] AS classes,
         list_append(c, len(ws) - list_sum(c)) AS common FROM (SELECT *, [{common}] AS c FROM b) LEFT JOIN rep USING (rid)),
     total AS (SELECT lang, {sums('classes', n_classes)} AS a, {sums('common', n_words)} AS b FROM h WHERE lang IS NOT NULL GROUP BY lang HAVING sum(chars) >= {MIN_REFERENCE_CHARS}),
-    ref AS (SELECT {share('a')} AS ra, {share('b')} AS rb FROM total),
-    far AS (SELECT rid, {far('classes', 'ra')} AS class_distance, {far('common', 'rb')} AS word_distance FROM h LEFT JOIN ref ON true GROUP BY rid),
+    ref AS (SELECT lang, {share('a')} AS ra, CASE WHEN b[{n_words}] <= {1 - MIN_LISTED_SHARE} * list_sum(b) THEN {share('b')} END AS rb FROM total),
+    far AS (SELECT rid, CASE WHEN ra IS NOT NULL THEN {_distance('classes', 'ra')} END AS class_distance, CASE WHEN rb IS NOT NULL THEN {_distance('common', 'rb')} END AS word_distance FROM h LEFT JOIN ref USING (lang)),
     v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM h JOIN far USING (rid))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-        NOT base_failed AND NOT (chars >= {MIN_CLASS_CHARS} AND class_distance > {MAX_CLASS_DISTANCE}) AND NOT (n_words >= {MIN_WORD_WORDS} AND word_distance > {MAX_WORD_DISTANCE}) AS kept,
+        NOT base_failed AND NOT (chars >= {MIN_CLASS_CHARS} AND coalesce(class_distance, 0) > {MAX_CLASS_DISTANCE}) AND NOT (n_words >= {MIN_WORD_WORDS} AND coalesce(word_distance, 0) > {MAX_WORD_DISTANCE}) AS kept,
         round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM v"""

@@ -223,10 +223,43 @@ def test_quality_rare_language(spark):
     rows = [(i, t, "en") for i, t in enumerate(large)] + [(100, other, "de"), (101, other, None), (102, other, "en"), (103, "too short", "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r["doc_id"]: r["q_kept"] for r in quality.judge(docs).collect()}
-    assert len(quality.language_references(docs)) == 1
+    assert quality.language_references(docs).count() == 1
     assert kept == dict.fromkeys(range(20), True) | {100: True, 101: True, 102: False, 103: False}
 
 
+def test_quality_unlisted_language(spark):
+    """Text without function words is rejected whatever other languages there are; histograms hold every character."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("bcdghklmnpqrstvw"), 6))
+    large = [(i, " ".join(f"{quality.COMMON_WORDS[j % 8]} w{i}x{j}" for j in range(200)), "en") for i in range(20)]
+    other = [(100 + i, " ".join(word() for _ in range(300)), "xx") for i in range(20)]
+    junk = [(200 + i, " ".join(word() for _ in range(300)), "en") for i in range(3)]
+    chinese = [(300 + i, "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 20000, 480)) + " 😀", "zh") for i in range(60)]
+    judged = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame([*large, *other, *junk, *chinese], "doc_id long, text string, lang string")).collect()}
+    assert [judged[i]["q_kept"] for i in (0, 100, 200, 201, 202)] == [True, True, False, False, False]
+    assert judged[100]["q_word_distance"] is None and judged[100]["q_class_distance"] is not None
+    assert all(sum(r["q_classes"]) == r["q_chars"] for r in judged.values()) and judged[300]["q_classes"][5] == 481
+
+
+def test_quality_exact_windows(spark, monkeypatch):
+    """Repeats counted by the words themselves where hash bits are equal."""
+    text = " ".join(f"w{i % 37} x{i % 11}" for i in range(400))
+    df = spark.createDataFrame([(1, text, "en"), (2, "a b c a b c", "en")], "doc_id long, text string, lang string")
+    want = {r["doc_id"]: r["q_n_repeat_words"] for r in quality.with_counts(df).collect()}
+    expr = quality.F.expr
+    monkeypatch.setattr(quality.F, "expr", lambda s: expr(s.replace("xxhash64(w, q_words[i + 1], q_words[i + 2])", "pmod(xxhash64(w, q_words[i + 1], q_words[i + 2]), 3L) << 40")))
+    assert {r["doc_id"]: r["q_n_repeat_words"] for r in quality.with_counts(df).collect()} == want and want[2] == 6
+
+
+def test_quality_clashing_names(spark):
+    text = " ".join(f"{quality.COMMON_WORDS[i % 8]} w{i}" for i in range(200))
+    df = spark.createDataFrame([(1, text, "en", "a", "b", 5, True), (2, "short", None, "a", "b", 5, True), (2, "short", None, "a", "b", 5, True)], "doc_id long, text string, lang string, q_words string, _late_row string, q_n_words int, Q_kept boolean")
+    good = quality.good_documents(df)
+    assert good.columns == df.columns and [tuple(r) for r in good.collect()] == [tuple(df.first())]
+    judged = quality.judge(df)
+    assert judged.columns[:5] == ["doc_id", "text", "lang", "q_words", "_late_row"] and sorted(r["q_n_words"] for r in judged.collect()) == [1, 1, 400]
+
+
 def test_langid(docs, odd):
     languages, profiles = langid.prototypes(docs)
     rows = langid.identify(docs, languages, profiles).collect()
