@@ -15,17 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perron.operators.prefix import prefix_sums
 from perron.session import bound_arrow_batches
+from perron.staging import stage
 
 DIMENSIONS = 512
 NGRAM = 3
 #: Letters have ids 1 to LETTERS - 1 (by code point, modulo); 0 is everything between words.
 LETTERS = 256
-#: More languages than this raise an error, as the prototypes go to every task.
-MAX_LANGUAGES = 1000
+#: Prototypes that go to the tasks at once (4 KB each); the documents pass by again for every further thousand.
+LANGUAGES_AT_ONCE = 1000
 UNKNOWN = "und"
-#: Characters worked on at once; the counts of a longer document are added up.
+#: Characters, and different n-grams, worked on at once; the bundles of a longer document are added up.
 SLICE_CHARS = 1 << 20
+SLICE_GRAMS = 1 << 12
 
 _state: dict[str, np.ndarray] = {}
 
@@ -34,8 +37,8 @@ def letter_ids(text: str) -> np.ndarray:
     """Ids of a lower-cased text: letters, and one 0 for every run of anything else, also at both ends."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32)
     if "letters" not in _state:
-        _state["letters"] = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x30000)])
-    isletter = _state["letters"][np.minimum(codes, 0x2FFFF)] & (codes < 0x30000)
+        _state["letters"] = np.array([chr(c).isalpha() for c in range(0x110000)])
+    isletter = _state["letters"][codes]
     ids = np.where(isletter, codes % (LETTERS - 1) + 1, 0).astype(np.int64)
     keep = np.ones(len(ids), dtype=bool)
     keep[1:] = (ids[1:] != 0) | (ids[:-1] != 0)
@@ -65,19 +68,21 @@ def document_vector(text: str | None) -> np.ndarray | None:
         for j in range(1, NGRAM):
             code = code * LETTERS + ids[j : len(ids) - NGRAM + 1 + j]
         grams, counts = np.unique(code, return_counts=True)
-        bound = vectors[NGRAM - 1][grams % LETTERS]
-        for j in range(1, NGRAM):
-            bound = bound * vectors[NGRAM - 1 - j][grams // LETTERS**j % LETTERS]
-        part = counts.astype(np.float32) @ bound.astype(np.float32)
-        total = part if total is None else total + part
+        for at in range(0, len(grams), SLICE_GRAMS):
+            some = grams[at : at + SLICE_GRAMS]
+            bound = vectors[NGRAM - 1][some % LETTERS]
+            for j in range(1, NGRAM):
+                bound = bound * vectors[NGRAM - 1 - j][some // LETTERS**j % LETTERS]
+            part = counts[at : at + SLICE_GRAMS].astype(np.float32) @ bound.astype(np.float32)
+            total = part if total is None else total + part
     return total
 
 
-def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages of ``docs(text, lang)`` and their unit prototypes, over all documents.
+def prototypes(docs: DataFrame) -> DataFrame:
+    """(lang, v): the languages of ``docs(text, lang)`` and their unit prototypes, over all documents.
 
     Documents count alike (unit vectors); those without lang or letters add nothing. A task adds up
-    its own documents, so one row per task and language is shuffled and one per language collected.
+    its own documents, so one row per task and language is shuffled. An empty table has no language.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,49 +99,56 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     bound_arrow_batches(docs.sparkSession)
     parts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(work, "lang string, v array<double>")
-    rows = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
-    rows = rows.limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
-    rows.sort(key=lambda r: r["lang"])
-    found = np.array([[x["x"] for x in r["v"]] for r in rows], dtype=np.float64).reshape(len(rows), DIMENSIONS)
-    return [r["lang"] for r in rows], found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
+    sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+    size = "greatest(sqrt(aggregate(s, 0D, (a, y) -> a + y.x * y.x)), 1e-12D)"
+    return stage(sums.select("lang", F.expr(f"transform(array({size}), n -> transform(s, y -> y.x / n))[0]").alias("v")), "prototypes")
+
 
+def in_blocks(profiles: DataFrame, most: int = LANGUAGES_AT_ONCE) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Languages by name with their prototypes, at most so many at a time."""
+    placed = prefix_sums(profiles, ["lang"], [], "_i") if profiles.count() > most else profiles.withColumn("_i", F.lit(0))
+    first = 0
+    while rows := placed.where((F.col("_i") >= first) & (F.col("_i") < first + most)).collect():
+        rows.sort(key=lambda r: r["lang"])
+        yield [r["lang"] for r in rows], np.array([r["v"] for r in rows], dtype=np.float64)
+        first += most
 
-def identify(docs: DataFrame, languages: list[str], profiles: np.ndarray) -> DataFrame:
+
+def identify(docs: DataFrame, profiles: DataFrame, most: int = LANGUAGES_AT_ONCE) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (cosine with the language's prototype, at least 0).
 
     The language with the largest cosine wins, the first by name among equals. Null texts, texts
     without letters, and all texts if there is no language, are ``und`` with score 0. Columns named
-    lang_pred or score are replaced; rows are independent.
+    lang_pred or score, in any case, are replaced; all others stay; rows are independent; an empty
+    table gives no rows.
     """
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*own).schema.add("lang_pred", "string").add("score", "double")
-    names = [*own, "lang_pred", "score"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, scores = [], []
-            for text in batch.column(own.index("text")):
-                v = document_vector(text.as_py())
-                n = 0.0 if v is None else float(np.linalg.norm(v))
-                if v is None or not languages or n == 0:
-                    found.append(UNKNOWN if v is None or not languages else languages[0])
-                    scores.append(0.0)
-                    continue
-                cosines = profiles @ v.astype(np.float64) / n
-                best = int(np.argmax(cosines))
-                found.append(languages[best])
-                scores.append(float(min(1.0, max(0.0, cosines[best]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=names)
-
     bound_arrow_batches(docs.sparkSession)
-    return docs.select(*own).mapInArrow(work, schema)
+    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    out = docs.select(*[F.col(f"`{c}`") for c in own], F.lit(None).cast("string").alias("lang_pred"), F.lit(-2.0).alias("score"))
+    names, schema = out.columns, out.schema
+    blocks = in_blocks(profiles, most)
+    for languages, vectors in blocks:
+
+        def work(batches: Iterator[pa.RecordBatch], languages: list[str] = languages, vectors: np.ndarray = vectors) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found, scores = batch.column(len(own)).to_pylist(), batch.column(len(own) + 1).to_pylist()
+                for row, text in enumerate(batch.column(own.index("text"))):
+                    v = document_vector(text.as_py())
+                    if v is None:
+                        continue
+                    n = float(np.linalg.norm(v))
+                    cosines = vectors @ v.astype(np.float64) / n if n else np.zeros(len(languages))
+                    best = int(np.argmax(cosines))
+                    if cosines[best] > scores[row]:
+                        found[row], scores[row] = languages[best], float(cosines[best])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=names)
+
+        out = out.mapInArrow(work, schema)
+    return out.select(*[F.col(f"`{c}`") for c in own], F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those whose crc32 is not 1 modulo 3."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    languages, profiles = prototypes(docs.where(~held))
-    return identify(docs.select("doc_id", held.alias("held_out"), "text"), languages, profiles).drop("text")
+    return identify(docs.select("doc_id", held.alias("held_out"), "text"), prototypes(docs.where(~held))).drop("text")

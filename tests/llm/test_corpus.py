@@ -1,6 +1,7 @@
 """The corpus operators on small frames with nulls, empties, repeats and long texts, against brute force."""
 
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -260,10 +261,44 @@ def test_quality_clashing_names(spark):
     assert judged.columns[:5] == ["doc_id", "text", "lang", "q_words", "_late_row"] and sorted(r["q_n_words"] for r in judged.collect()) == [1, 1, 400]
 
 
-def test_langid(docs, odd):
-    languages, profiles = langid.prototypes(docs)
-    rows = langid.identify(docs, languages, profiles).collect()
-    assert np.mean([r["lang_pred"] == r["lang"] for r in rows if r["lang"]]) > 0.95
-    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd, languages, profiles).collect()}
-    assert got[2] == got[3] == got[4] == "und" and got[1] != "und"
-    assert langid.prototypes(docs.limit(0))[0] == []
+def test_langid_held_out(spark):
+    """op10 over a whole given table: every row, the learning split, and accuracy on what was held out."""
+    folder = "/root/testdata/sf0.01"
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = langid.op10_langid(spark, folder).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(lang)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in rows)
+    held = [r["lang_pred"] == lang[r["doc_id"]] for r in rows if r["held_out"] and lang[r["doc_id"]] and r["lang_pred"] != "und"]
+    assert len(held) > 200 and np.mean(held) > 0.97
+    # The held-out documents teach nothing: without their languages the result is the same.
+    blind = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, F.col("lang")))
+    again = langid.identify(blind.select("doc_id", "text"), langid.prototypes(blind)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in again} == {r["doc_id"]: r["lang_pred"] for r in rows}
+
+
+def test_langid(spark, docs, odd):
+    profiles = langid.prototypes(docs)
+    whole = langid.identify(odd, profiles).collect()
+    got = {r["doc_id"]: r["lang_pred"] for r in whole}
+    assert got[2] == got[3] == got[4] == "und" and got[1] != "und" and len(whole) == len(ODD)
+    assert langid.identify(odd, profiles).columns == [*odd.columns, "lang_pred", "score"]
+    # A language at a time gives what all at once give.
+    told = lambda rows: sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 9)) for r in rows)
+    assert told(langid.identify(odd, profiles, most=1).collect()) == told(whole)
+    none = langid.prototypes(docs.limit(0))
+    assert none.count() == 0 and {r["lang_pred"] for r in langid.identify(odd, none).collect()} == {"und"}
+    clash = odd.withColumn("Lang_pred", F.lit("mine")).withColumn("v", F.lit(1)).withColumn("_i", F.lit(2))
+    assert langid.identify(clash, profiles).columns == [*odd.columns, "v", "_i", "lang_pred", "score"]
+    assert langid.identify(odd.limit(0), profiles).count() == 0
+
+
+def test_langid_letters():
+    """Letters beyond the first planes count; a text of very many different trigrams takes little memory."""
+    assert langid.document_vector("\U00030000\U00030001\U00030002") is not None and langid.document_vector("123 !? \U0001F600") is None
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9000, 300_000)))
+    tracemalloc.start()
+    langid.document_vector(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
