@@ -26,20 +26,20 @@ def _iban() -> str:
     """The countries of each length, then check digits and as many more characters as the length says."""
     lengths = sorted({int(x[2:]) for x in IBAN_LENGTHS})
     each = [f"(?:{'|'.join(x[:2] for x in IBAN_LENGTHS if int(x[2:]) == n)})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n in lengths]
-    return rf"(?<![A-Za-z0-9])(?:{'|'.join(each)})(?![A-Za-z0-9])"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(each)})(?![A-Za-z0-9])"
 
 
 LOCAL = "[A-Za-z0-9._%+-]"
-#: Kind -> (pattern, cheap test, score without context, words that raise the score when near, threshold).
+#: Kind -> (pattern, cheap test (a character or a pattern that every match holds), score without context, words that raise the score when near, threshold).
 #: The first four are the base kinds; their spans stay whatever the score is (threshold 0).
 KINDS: dict[str, tuple[str, str, float, str, float]] = {
     "email": (rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, "mail|contact|write|kontakt|courriel|correo", 0.0),
-    "ip": (r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, "ip|address|host|server|adresse", 0.0),
+    "ip": (r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, "ip|address|host|server|adresse", 0.0),
     "card": (r"[0-9](?:[\x20-]?[0-9]){12,}+", "", 0.7, "card|visa|credit|karte|carte|tarjeta", 0.0),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|tel|call|mobile|fax", 0.0),
-    "iban": (_iban(), "", 0.7, "iban|account|bank|konto|compte|cuenta", 0.6),
+    "iban": (_iban(), "[A-Z]{2}[0-9]{2}", 0.7, "iban|account|bank|konto|compte|cuenta", 0.6),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, "ssn|social|security", 0.5),
-    "secret": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", "", 0.3, "token|secret|passw|api.?key|credential|bearer|auth|clave|passe", 0.5),
+    "secret": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", "[0-9]", 0.3, "token|secret|passw|api.?key|credential|bearer|auth|clave|passe", 0.5),
 }
 BASE = ("email", "ip", "card", "phone")
 CONTEXT_CHARS = 40
@@ -109,7 +109,8 @@ def kind_spans(kind: str, text: str) -> Column:
     keep = f"filter({starts}, y -> {_let('x', 'y.x', VALID[kind] + (f' AND {rated} >= {least}' if least else ''))})"
     spans = f"transform({keep}, y -> {_let('x', 'y.x', f"named_struct('kind', '{kind}', 'start', y.start, 'end', y.start + x.n, 'score', {rated})")})"
     found = _let("s", f"named_struct('m', regexp_extract_all({text}, {pat}, 0), 'p', split({text}, {pat}, -1))", _let("ms", matches, _let("bl", _blocks("ms"), _let("base", bases, spans))))
-    test = (f"contains({text}, '{cheap}') AND " if cheap else "") + f"{text} rlike {pat}"
+    quick = f"contains({text}, '{cheap}')" if len(cheap) == 1 else f"{text} rlike {_literal(cheap)}"
+    test = (f"{quick} AND " if cheap else "") + f"{text} rlike {pat}"
     return F.expr(f"coalesce(CASE WHEN {test} THEN cast({found} as {SPANS}) END, cast(array() as {SPANS}))")
 
 
