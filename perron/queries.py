@@ -11,11 +11,14 @@ from perron.functions.transit import DAYS, gtfs_time_ms, trips_per_year
 from perron.operators import calendar, clustering, network, patterns, raptor
 from perron.operators.components import connected_components
 from perron.operators.prefix import prefix_sums
-from perron.sources.events_timetable import EVENT_TYPES, events_timetable
+from perron.sources.events_timetable import EVENT_TYPES, Timetable, events_timetable
 
 START, TARGET, AT = 3, 0, 8 * 3600 * 1000
 ORIGINS = (0, 37, 73)
-WEEK = 7 * 24 * 3600 * 1000
+HOUR = 3600 * 1000
+WEEK = 7 * 24 * HOUR
+LATEST = 20 * HOUR
+RANGE_FROM, TARGETS = 37, (5, 50, 95)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +31,10 @@ def _origins(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(o, o, AT) for o in ORIGINS], "query_id int, stop_id int, tau long")
 
 
+def _network(t: Timetable) -> raptor.Network:
+    return raptor.prepare(t.stop_times, network.walk_edges(t.stops))
+
+
 def timetable_stop_times(spark: SparkSession, d: str) -> DataFrame:
     return events_timetable(spark, d).stop_times
 
@@ -75,12 +82,6 @@ def walk_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def used_stops(spark: SparkSession, d: str) -> DataFrame:
-    t = events_timetable(spark, d)
-    return t.stops.join(t.stop_times.where("stop_sequence >= 3"), "stop_id", "left_semi").select("stop_id")
-
-
-def used_stops_all(spark: SparkSession, d: str) -> DataFrame:
-    """``used_stops`` over all stop times."""
     t = events_timetable(spark, d)
     return t.stops.join(t.stop_times, "stop_id", "left_semi").select("stop_id")
 
@@ -102,12 +103,6 @@ def long_distance_stations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def border_stations(spark: SparkSession, d: str) -> DataFrame:
-    t = events_timetable(spark, d)
-    return network.border_stations(t.stop_times, _clusters(t.stops).where("stop_id % 9 <> 0 OR stop_id < 50"))
-
-
-def border_stations_all(spark: SparkSession, d: str) -> DataFrame:
-    """``border_stations`` over all clusters."""
     t = events_timetable(spark, d)
     return network.border_stations(t.stop_times, _clusters(t.stops))
 
@@ -141,46 +136,52 @@ def dataset_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def earliest_arrival_k2(spark: SparkSession, d: str) -> DataFrame:
     t = events_timetable(spark, d)
-    return raptor.earliest_arrivals(t.stop_times, network.walk_edges(t.stops), _origins(spark), rounds=2).select("query_id", "stop_id", "tau")
+    return raptor.arrivals(_network(t), _origins(spark), rounds=2).select("query_id", "stop_id", "tau")
 
 
 def earliest_arrival_all(spark: SparkSession, d: str) -> DataFrame:
-    t = events_timetable(spark, d)
-    best = raptor.earliest_arrivals(t.stop_times, network.walk_edges(t.stops), _origins(spark))
-    return raptor.with_journey_times(best.where("size(legs) > 0")).select("query_id", "stop_id", "tau", "departure", "arrival", F.size("legs").alias("n_legs"))
+    return raptor.arrivals_at(_network(events_timetable(spark, d)), _origins(spark)).select("query_id", "stop_id", "tau", "departure", "arrival", F.size("legs").alias("n_legs"))
 
 
 def earliest_arrival_to(spark: SparkSession, d: str) -> DataFrame:
-    return earliest_arrival_all(spark, d).where(F.col("stop_id").isin(5, 50, 95)).select("query_id", "stop_id", "arrival")
+    targets = spark.createDataFrame([(o, s) for o in ORIGINS for s in TARGETS], "query_id int, stop_id int")
+    return raptor.arrivals_at(_network(events_timetable(spark, d)), _origins(spark), targets).select("query_id", "stop_id", "arrival")
 
 
 def latest_departure(spark: SparkSession, d: str) -> DataFrame:
     t = events_timetable(spark, d)
-    return clustering.latest_departures(t.stop_times, network.walk_edges(t.stops), spark.createDataFrame([(1, 50, 20 * 3600 * 1000)], "query_id int, stop_id int, tau long"))
+    return raptor.latest_departures(t.stop_times, network.walk_edges(t.stops), spark.createDataFrame([(1, 50, LATEST)], "query_id int, stop_id int, tau long"))
+
+
+def _from_one(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(RANGE_FROM,)], "stop_id int")
 
 
 def range_all(spark: SparkSession, d: str) -> DataFrame:
-    t = events_timetable(spark, d)
-    return raptor.range_query(t.stop_times, network.walk_edges(t.stops), 37, AT, 3_600_000).select("departure", "arrival", "departure_stop", "arrival_stop", F.size("legs").alias("n_legs"))
+    found = raptor.ranges(_network(events_timetable(spark, d)), _from_one(spark), AT, HOUR)
+    return found.select("departure", "arrival", "departure_stop", "arrival_stop", F.size("legs").alias("n_legs"))
 
 
 def range_departures(spark: SparkSession, d: str) -> DataFrame:
     t = events_timetable(spark, d)
-    return t.stop_times.where((F.col("stop_id") == 37) & F.col("departure_time").between(AT, AT + 3600_000)).select((F.col("departure_time") + 1000).alias("tau")).distinct()
+    return t.stop_times.where((F.col("stop_id") == RANGE_FROM) & F.col("departure_time").between(AT, AT + HOUR)).select((F.col("departure_time") + 1000).alias("tau")).distinct()
 
 
 def range_json(spark: SparkSession, d: str) -> DataFrame:
+    return raptor.journeys_json(raptor.ranges(_network(events_timetable(spark, d)), _from_one(spark), AT, 12 * HOUR, list(TARGETS)))
+
+
+def _patterns(spark: SparkSession, d: str) -> DataFrame:
     t = events_timetable(spark, d)
-    return raptor.journeys_json(raptor.range_query(t.stop_times, network.walk_edges(t.stops), 37, AT, 3_600_000, [5, 50]))
+    return raptor.transfer_patterns(raptor.ranges(_network(t), t.stops, 0, WEEK))
 
 
 def transfer_patterns(spark: SparkSession, d: str) -> DataFrame:
-    t = events_timetable(spark, d)
-    return raptor.transfer_patterns(raptor.range_from_all(t.stop_times, network.walk_edges(t.stops), t.stops, 0, WEEK))
+    return _patterns(spark, d).select("start", F.array_join("intermediates", ">").alias("intermediates"), "target")
 
 
 def transfer_pattern_graph(spark: SparkSession, d: str) -> DataFrame:
-    return raptor.pattern_edges(transfer_patterns(spark, d))
+    return raptor.pattern_edges(_patterns(spark, d))
 
 
 def long_walk_components(spark: SparkSession, d: str) -> DataFrame:
@@ -215,9 +216,9 @@ def dated_stop_times(spark: SparkSession, d: str) -> DataFrame:
 
 def pattern_arrivals(spark: SparkSession, d: str) -> DataFrame:
     t = events_timetable(spark, d)
-    walks = network.walk_edges(t.stops)
-    found = raptor.transfer_patterns(raptor.earliest_arrivals(t.stop_times, walks, _origins(spark)))
-    return patterns.pattern_arrivals(found, t.stop_times, walks, _origins(spark).withColumnRenamed("stop_id", "start"))
+    prepared = _network(t)
+    found = raptor.transfer_patterns(raptor.labels(prepared, _origins(spark)))
+    return patterns.pattern_arrivals(found, t.stop_times, prepared.walks, _origins(spark).withColumnRenamed("stop_id", "start"))
 
 
 QUERIES: dict[str, Query] = {
@@ -227,7 +228,7 @@ QUERIES: dict[str, Query] = {
         walk_edges, used_stops, line_geometry, hops, long_distance_stations, border_stations, stop_adjacency_weighted, service_trips_per_year, merge_score_top1,
         cluster_sub_timetable, dataset_stats, earliest_arrival_k2, earliest_arrival_all, earliest_arrival_to, latest_departure, range_all, range_departures, range_json,
         transfer_patterns, transfer_pattern_graph, long_walk_components, kmeans_clusters, gaussian_clusters, dbscan_clusters,
-        optics_clusters, service_days, dated_stop_times, pattern_arrivals, used_stops_all, border_stations_all,
+        optics_clusters, service_days, dated_stop_times, pattern_arrivals,
     )
 }
 
@@ -250,6 +251,33 @@ def _base(few: bool) -> str:
     """
 
 
+def _rounds(start: str, rounds: int, st: str = "st", walks: str = "walks") -> str:
+    """CTEs that run so many rounds from the labels of ``start`` (query_id, stop_id, tau), by plain joins: a<k>
+    has all labels after round k, with the journey's departure, its legs as JSON and the stops they start at."""
+    none = "NULL::BIGINT AS departure, []::VARCHAR[] AS legs, []::INTEGER[] AS path"
+    out = [f"f0 AS MATERIALIZED (SELECT query_id, stop_id, tau, {none} FROM ({start})), a0 AS MATERIALIZED (FROM f0)"]
+    ride = """'{"ride":{"trip":' || x.t || ',"boarding_stop":' || x.b || ',"alight_stop":' || r.stop_id || ',"boarding_time":' || x.d // 1000 || ',"alight_time":' || x.a // 1000 || '}}'"""
+    walk = """'{"transfer":{"start":' || x.via || ',"end":' || w.stop_id || ',"duration":' || x.ms // 1000 || '}}'"""
+    for k in range(1, rounds + 1):
+        f, a = f"f{k - 1}", f"a{k - 1}"
+        out.append(f"""r{k} AS MATERIALIZED (SELECT r.query_id, r.stop_id, x.a AS tau, coalesce(l.departure, x.d) AS departure, list_append(l.legs, {ride}) AS legs, list_append(l.path, x.b) AS path FROM (
+            SELECT query_id, stop_id, min({{'a': arrival_time, 't': trip_id, 'b': m.b, 'd': m.d}}) AS x FROM (
+                SELECT query_id, b.trip_id, b.stop_sequence, any_value(b.stop_id) AS stop_id, any_value(b.arrival_time) AS arrival_time, max({{'p': c.stop_sequence, 'b': c.stop_id, 'd': c.departure_time}}) AS m
+                FROM {f} l JOIN {st} c ON c.stop_id = l.stop_id AND c.departure_time >= l.tau JOIN {st} b ON b.trip_id = c.trip_id AND b.stop_sequence > c.stop_sequence GROUP BY 1, 2, 3)
+            WHERE m.b <> stop_id GROUP BY 1, 2) r LEFT JOIN {a} o USING (query_id, stop_id) JOIN {f} l ON l.query_id = r.query_id AND l.stop_id = x.b WHERE o.tau IS NULL OR x.a < o.tau),
+        w{k} AS MATERIALIZED (SELECT w.query_id, w.stop_id, x.tau, l.departure, list_append(l.legs, {walk}) AS legs, list_append(l.path, x.via) AS path FROM (
+            SELECT query_id, to_stop AS stop_id, min({{'tau': tau + duration_ms, 'via': r.stop_id, 'ms': duration_ms}}) AS x FROM r{k} r JOIN {walks} ON from_stop = r.stop_id GROUP BY 1, 2) w
+            JOIN r{k} l ON l.query_id = w.query_id AND l.stop_id = x.via LEFT JOIN {a} o ON o.query_id = w.query_id AND o.stop_id = w.stop_id LEFT JOIN r{k} n ON n.query_id = w.query_id AND n.stop_id = w.stop_id
+            WHERE (o.tau IS NULL OR x.tau < o.tau) AND (n.tau IS NULL OR x.tau < n.tau)),
+        f{k} AS MATERIALIZED (FROM w{k} UNION ALL FROM r{k} ANTI JOIN w{k} USING (query_id, stop_id)),
+        a{k} AS MATERIALIZED (FROM f{k} UNION ALL FROM {a} ANTI JOIN f{k} USING (query_id, stop_id))""")
+    return ", ".join(out)
+
+
+#: Rounds in the SQL of queries that go on until nothing improves; further ones would change nothing.
+ROUNDS = 8
+
+
 
 
 def oracle_sql() -> dict[str, str]:
@@ -263,16 +291,19 @@ def oracle_sql() -> dict[str, str]:
         SELECT trip_id, stop_id, lead(stop_id) OVER w AS stop_b, lead(stop_sequence) OVER w AS n, stop_sequence FROM st WINDOW w AS (PARTITION BY trip_id ORDER BY stop_sequence))
         JOIN trips USING (trip_id) JOIN (SELECT service_id, 52 * ({" + ".join(f"CAST({x} AS INTEGER)" for x in DAYS)}) AS per_year FROM services) USING (service_id)
         WHERE n = stop_sequence + 1 GROUP BY 1, 2)"""
-    ride = """SELECT l.query_id, b.stop_id, min(b.arrival_time) AS tau FROM {f} l JOIN st a ON a.stop_id = l.stop_id AND a.departure_time >= l.tau
-        JOIN st b ON b.trip_id = a.trip_id AND b.stop_sequence > a.stop_sequence AND b.stop_id <> a.stop_id GROUP BY 1, 2"""
-    walk = "SELECT query_id, to_stop AS stop_id, min(tau + duration_ms) AS tau FROM {r} JOIN walks ON from_stop = stop_id GROUP BY 1, 2"
-    least = "SELECT query_id, stop_id, min(tau) AS tau FROM ({x}) GROUP BY 1, 2"
-    better = "SELECT n.* FROM ({x}) n LEFT JOIN {b} o USING (query_id, stop_id) WHERE o.tau IS NULL OR n.tau < o.tau"
-    ea2 = f"""{walks}, l0 AS (SELECT * FROM (VALUES {", ".join(f"({o}, {o}, {AT}::BIGINT)" for o in ORIGINS)}) t(query_id, stop_id, tau)),
-        r1 AS ({better.format(x=ride.format(f="l0"), b="l0")}), b1 AS ({least.format(x="FROM l0 UNION ALL FROM r1")}), w1 AS ({better.format(x=walk.format(r="r1"), b="b1")}),
-        f1 AS ({least.format(x="FROM r1 UNION ALL FROM w1")}), a1 AS ({least.format(x="FROM b1 UNION ALL FROM w1")}),
-        r2 AS ({better.format(x=ride.format(f="f1"), b="a1")}), b2 AS ({least.format(x="FROM a1 UNION ALL FROM r2")}), w2 AS ({better.format(x=walk.format(r="r2"), b="b2")}),
-        a2 AS ({least.format(x="FROM b2 UNION ALL FROM w2")})"""
+    origins = "FROM (VALUES {}) t(query_id, stop_id, tau)".format(", ".join(f"({o}, {o}, {AT}::BIGINT)" for o in ORIGINS))
+    onward = "SELECT stop_id, departure_time FROM st s WHERE stop_sequence < (SELECT max(stop_sequence) FROM st e WHERE e.trip_id = s.trip_id)"
+    probes = "SELECT {{'stop': stop_id, 'tau': tau}} AS query_id, stop_id, tau FROM (SELECT stop_id, {at}::BIGINT AS tau FROM stops UNION SELECT stop_id, departure_time + 1000 FROM ({onward}) WHERE departure_time BETWEEN {at} AND {to} - 1000) WHERE {which}"
+    ranges = lambda at, span, which, rounds: f"{many}, {walks}, {_rounds(probes.format(at=at, to=at + span, onward=onward, which=which), rounds)}, j AS (SELECT DISTINCT departure, tau AS arrival, query_id.stop AS departure_stop, stop_id AS arrival_stop, legs, path FROM a{rounds} WHERE len(legs) > 0 AND departure <= {at + span})"
+    one = f"stop_id = {RANGE_FROM}"
+    every = f"{ranges(0, WEEK, 'true', ROUNDS)}, p AS (SELECT DISTINCT departure_stop AS start, path[2:] AS mid, arrival_stop AS target FROM j)"
+    ea = f"{many}, {walks}, {_rounds(origins, ROUNDS)}"
+    turned = f"""{many}, {walks}, tst AS (SELECT trip_id, stop_id, -stop_sequence AS stop_sequence, -departure_time AS arrival_time, -arrival_time AS departure_time FROM st),
+        twalks AS (SELECT to_stop AS from_stop, from_stop AS to_stop, duration_ms FROM walks), {_rounds(f"SELECT 1 AS query_id, 50 AS stop_id, -{LATEST}::BIGINT AS tau", ROUNDS, "tst", "twalks")}"""
+    crowd = """near AS (SELECT a.stop_id AS a, b.stop_id AS b FROM stops a JOIN stops b ON pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2) <= 0.015::DOUBLE * 0.015::DOUBLE),
+        core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 4), link AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+        r AS (SELECT a AS node, a AS reach FROM core UNION SELECT r.node, link.b FROM r JOIN link ON link.a = r.reach), comp AS (SELECT node, min(reach) AS c FROM r GROUP BY 1),
+        edge AS (SELECT b AS stop_id, min(c) AS c FROM near JOIN comp ON node = a GROUP BY 1)"""
     running = f"""sd AS (SELECT service_id, CAST(day AS DATE) AS date FROM services, generate_series(DATE '{{}}', DATE '{{}}', INTERVAL 1 DAY) g(day)
         WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-12-31' AND [{", ".join(DAYS)}][isodow(day)])"""
     dense = f"""near AS (SELECT * FROM (SELECT a.stop_id AS a, b.stop_id AS b, {hav.format(a='a.', b='b.')} AS m FROM stops a JOIN stops b ON a.stop_id <> b.stop_id) WHERE m <= 1200),
@@ -292,17 +323,28 @@ def oracle_sql() -> dict[str, str]:
         "dense_trip_ids": f"{many} SELECT trip_id, CAST(row_number() OVER (ORDER BY trip_id) - 1 AS BIGINT) AS dense_id FROM trips",
         "gtfs_time_parse": "SELECT event_id, CAST(((hour(ts) + 3) * 3600 + minute(ts) * 60 + second(ts)) * 1000 AS BIGINT) AS ms FROM events",
         "walk_edges": f"{many}, {walks} SELECT * FROM walks",
-        "used_stops": f"{many} SELECT stop_id FROM stops WHERE stop_id IN (SELECT stop_id FROM st WHERE stop_sequence >= 3)",
+        "used_stops": f"{many} SELECT stop_id FROM stops WHERE stop_id IN (SELECT stop_id FROM st)",
         "line_geometry": f"{few} SELECT line_key, string_agg(CAST(round(lon * 100) AS INTEGER) || ' ' || CAST(round(lat * 100) AS INTEGER), ',' ORDER BY stop_sequence) AS points FROM lp JOIN stops USING (stop_id) GROUP BY 1",
         "hops": f"{many}, {hop} SELECT line_key, stop_id, stop_sequence, round(distance, 3) AS metres FROM hop",
         "long_distance_stations": f"{many}, {hop} SELECT DISTINCT stop_id FROM hop JOIN (SELECT line_key FROM hop GROUP BY 1 HAVING avg(distance) >= 6000) USING (line_key)",
-        "border_stations": f"{many}, {cl}, b AS (SELECT stop_id, cluster_id, lag(stop_id) OVER w AS s, lag(cluster_id) OVER w AS c FROM lp JOIN cl USING (stop_id) WHERE stop_id % 9 <> 0 OR stop_id < 50 WINDOW w AS (PARTITION BY line_key ORDER BY stop_sequence)) SELECT stop_id FROM b WHERE c <> cluster_id UNION SELECT s FROM b WHERE c <> cluster_id",
+        "border_stations": f"{many}, {cl}, b AS (SELECT stop_id, cluster_id, lag(stop_id) OVER w AS s, lag(cluster_id) OVER w AS c FROM lp JOIN cl USING (stop_id) WINDOW w AS (PARTITION BY line_key ORDER BY stop_sequence)) SELECT stop_id FROM b WHERE c <> cluster_id UNION SELECT s FROM b WHERE c <> cluster_id",
         "stop_adjacency_weighted": f"{many}, {adj} SELECT * FROM adj",
         "service_trips_per_year": f"{many} SELECT service_id, CAST(52 * ({' + '.join(f'CAST({x} AS INTEGER)' for x in DAYS)}) AS BIGINT) AS per_year FROM services",
         "merge_score_top1": f"{many}, {adj} SELECT stop_a, stop_b, round(2.0 * weight, 6) AS score FROM adj WHERE stop_a <> stop_b AND weight > 0 ORDER BY weight, stop_a, stop_b LIMIT 1",
         "cluster_sub_timetable": f"{many}, {cl}, s AS (SELECT * FROM st JOIN cl USING (stop_id)), t AS (SELECT DISTINCT cluster_id, trip_id FROM s), v AS (SELECT cluster_id, service_id FROM t JOIN trips USING (trip_id)) SELECT * FROM (SELECT cluster_id, count(*) AS n_stop_times FROM s GROUP BY 1) JOIN (SELECT cluster_id, count(*) AS n_trips, count(DISTINCT service_id) AS n_services FROM v GROUP BY 1) USING (cluster_id)",
         "dataset_stats": f"{many}, {cl} SELECT 'stops' AS what, count(*) AS n FROM cl UNION ALL SELECT 'clusters', count(DISTINCT cluster_id) FROM cl UNION ALL SELECT 'trips', count(*) FROM trips",
-        "earliest_arrival_k2": f"{many}, {ea2} SELECT query_id, stop_id, tau FROM a2",
+        "earliest_arrival_k2": f"{many}, {walks}, {_rounds(origins, 2)} SELECT query_id, stop_id, tau FROM a2",
+        "earliest_arrival_all": f"{ea} SELECT query_id, stop_id, tau, departure, tau AS arrival, CAST(len(legs) AS INTEGER) AS n_legs FROM a{ROUNDS} WHERE len(legs) > 0",
+        "earliest_arrival_to": f"{ea} SELECT query_id, stop_id, tau AS arrival FROM a{ROUNDS} WHERE len(legs) > 0 AND stop_id IN {TARGETS}",
+        "latest_departure": f"{turned} SELECT query_id, stop_id, -tau AS tau FROM a{ROUNDS}",
+        "range_all": f"{ranges(AT, HOUR, one, ROUNDS)} SELECT departure, arrival, departure_stop, arrival_stop, CAST(len(legs) AS INTEGER) AS n_legs FROM j",
+        "range_json": f"""{ranges(AT, 12 * HOUR, one, ROUNDS)} SELECT '{{"legs":[' || array_to_string(legs, ',') || ']}}' AS json FROM j WHERE arrival_stop IN {TARGETS}""",
+        "transfer_patterns": f"{every} SELECT start, array_to_string(mid, '>') AS intermediates, target FROM p",
+        "transfer_pattern_graph": f"""{every}, c AS (SELECT DISTINCT start, target, list_prepend(start, mid) AS chain FROM p), n AS (SELECT start, chain[:i] AS path FROM c, range(2, len(chain) + 1) t(i))
+            SELECT start, 'prefix:' || array_to_string(path, '>') AS node, CASE WHEN len(path) = 2 THEN 'root' ELSE 'prefix:' || array_to_string(path[:-2], '>') END AS before FROM n
+            UNION SELECT start, 'target:' || target, CASE WHEN len(chain) = 1 THEN 'root' ELSE 'prefix:' || array_to_string(chain, '>') END FROM c""",
+        "pattern_arrivals": f"{ea} SELECT query_id, query_id AS start, stop_id AS target, tau AS arrival FROM a{ROUNDS} WHERE len(legs) > 0",
+        "dbscan_clusters": f"{many}, {crowd} SELECT stop_id, CAST(coalesce(comp.c, edge.c, -1) AS INTEGER) AS cluster_id FROM stops LEFT JOIN comp ON node = stop_id LEFT JOIN edge USING (stop_id)",
         "service_days": f"{many}, {running.format('2023-12-28', '2024-01-10')} SELECT * FROM sd",
         "dated_stop_times": f"{many}, {running.format('2024-01-01', '2024-01-03')} SELECT trip_id * 100000 + date_diff('day', DATE '1970-01-01', date) AS trip_id, stop_id, stop_sequence, arrival_time + epoch_ms(date::TIMESTAMP) AS arrival_time, departure_time + epoch_ms(date::TIMESTAMP) AS departure_time FROM st JOIN trips USING (trip_id) JOIN sd USING (service_id)",
         "optics_clusters": f"{many}, {dense} SELECT stop_id, CAST(coalesce(c, -1) AS INTEGER) AS cluster_id FROM stops LEFT JOIN (SELECT * FROM mem WHERE c IN (SELECT c FROM mem GROUP BY 1 HAVING count(*) >= 10)) USING (stop_id)",
