@@ -230,7 +230,8 @@ def verdicts(docs: DataFrame, ngram: int, percent: int, bands: int, rows: int) -
         labels = labels.join(components.join(named, "component").select("node", "least"), "node", "left")
     else:
         labels = labels.withColumn("least", F.lit(None).cast("long"))
-    labels = labels.select("node", F.coalesce("least", "id").alias("least"))
+    # Staged, so that the last join is of two shuffled sides: a set that very many copies share is split.
+    labels = stage(labels.select("node", F.coalesce("least", "id").alias("least")), "labels")
     return (
         sig.select("doc_id", "text_hash", "node", "n")
         .join(labels, "node", "left")
