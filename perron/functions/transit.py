@@ -46,3 +46,13 @@ def trips_per_year() -> Column:
     for d in DAYS:
         total = total + F.col(d).cast("int")
     return (total * 52).cast("long")
+
+
+def stop_name(stop_id: Column) -> Column:
+    """A stop's id as it is shown: ``s:`` and the number."""
+    return F.concat(F.lit("s:"), stop_id.cast("string"))
+
+
+def parse_stop(text: Column) -> Column:
+    """A stop's id from its number or from how it is shown; null for anything else."""
+    return F.when(text.rlike("^(s:)?[0-9]+$"), F.regexp_replace(text, "^s:", "").try_cast("int"))

@@ -2,36 +2,50 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perron.functions.transit import EARTH_RADIUS_M, MAX_WALK_MS, WALKING_KMH, haversine, travel_ms, trips_per_year
+from perron.operators.prefix import prefix_sums
 
 
 def trip_lines(stop_times: DataFrame) -> DataFrame:
-    """(trip_id, line_key): trips with equal stops and equal sequence numbers share a line. The key is
-    the chain as text, so it needs no global numbering and is the same on every run."""
+    """(trip_id, line_key, chain): trips with equal stops and equal sequence numbers share a line. The
+    key is a 128-bit hash of the chain of stops, so it needs no global numbering, is the same on every
+    run, and is all that other tables carry of the chain."""
     chain = F.array_sort(F.collect_list(F.struct("stop_sequence", "stop_id")))
     text = F.array_join(F.transform("c", lambda x: F.concat(x["stop_id"].cast("string"), F.lit("@"), x["stop_sequence"].cast("string"))), ",")
-    return stop_times.groupBy("trip_id").agg(chain.alias("c")).select("trip_id", text.alias("line_key"))
+    return stop_times.groupBy("trip_id").agg(chain.alias("c")).select("trip_id", F.md5(text.cast("binary")).alias("line_key"), F.col("c").alias("chain"))
 
 
 def lines(stop_times: DataFrame) -> DataFrame:
-    """(line_key, trips): the lines and their number of trips."""
-    return trip_lines(stop_times).groupBy("line_key").agg(F.count(F.lit(1)).alias("trips"))
+    """(line_key, stops, trips): the lines, their stops in sequence and their number of trips."""
+    found = trip_lines(stop_times).groupBy("line_key").agg(F.first("chain").alias("chain"), F.count(F.lit(1)).alias("trips"))
+    return found.select("line_key", F.transform("chain", lambda x: x["stop_id"]).alias("stops"), "trips")
+
+
+def line_ids(stop_times: DataFrame) -> DataFrame:
+    """(line_key, line_id): dense numbers from 0 in the order of the keys."""
+    return prefix_sums(trip_lines(stop_times).select("line_key").distinct(), ["line_key"], [], "line_id").withColumn("line_id", F.col("line_id").cast("int"))
 
 
 def line_progressions(stop_times: DataFrame) -> DataFrame:
     """(line_key, stop_id, stop_sequence): one row per stop of a line."""
-    each = F.explode(F.split("line_key", ",")).alias("e")
-    return trip_lines(stop_times).select("line_key").distinct().select("line_key", each).select(
-        "line_key", F.split_part("e", F.lit("@"), F.lit(1)).cast("int").alias("stop_id"), F.split_part("e", F.lit("@"), F.lit(2)).cast("int").alias("stop_sequence")
-    )
+    each = trip_lines(stop_times).groupBy("line_key").agg(F.first("chain").alias("chain")).select("line_key", F.explode("chain").alias("e"))
+    return each.select("line_key", "e.stop_id", "e.stop_sequence")
+
+
+def line_visit_index(stop_times: DataFrame) -> DataFrame:
+    """(line_key, stop_id, stop_sequence, visit_idx): progressions with the number of the line's earlier visits of the stop."""
+    order = Window.partitionBy("line_key", "stop_id").orderBy("stop_sequence")
+    return line_progressions(stop_times).withColumn("visit_idx", (F.row_number().over(order) - 1).cast("int"))
 
 
 def expanded_lines(stop_times: DataFrame) -> DataFrame:
     """Every trip of every line, stop by stop, with its times."""
-    return trip_lines(stop_times).join(stop_times, "trip_id").select("line_key", "trip_id", "stop_id", "arrival_time", "departure_time", "stop_sequence")
+    return trip_lines(stop_times).select("trip_id", "line_key").join(stop_times, "trip_id").select("line_key", "trip_id", "stop_id", "arrival_time", "departure_time", "stop_sequence")
 
 
 def stop_incidence(stop_times: DataFrame) -> DataFrame:
@@ -64,16 +78,24 @@ def walk_edges(stops: DataFrame, kmh: float = WALKING_KMH, most_ms: int = MAX_WA
     """(from_stop, to_stop, duration_ms) of all pairs within walking reach.
 
     An equi-join on grid cells: bands of latitude as wide as the reach, and in every band cells of
-    longitude as wide as the reach at the band's narrowest; a stop asks the cells it can reach in
-    its own and the neighbouring bands.
+    longitude as wide as the reach is there at most; a stop asks the cells it can reach in its own
+    and the neighbouring bands. Longitudes go round, so stops on both sides of the date line are
+    neighbours, and a band at a pole is one cell.
     """
-    reach = most_ms / 3600000 * kmh * 1000
-    degrees = reach / (EARTH_RADIUS_M * 3.141592653589793 / 180) * 1.0001
-    width = lambda band: degrees / F.greatest(F.lit(0.01), F.cos(F.radians(F.greatest(F.abs(band * degrees), F.abs((band + 1) * degrees)))))
-    home = stops.withColumn("band", F.floor(F.col("lat") / degrees)).withColumn("cell", F.floor(F.col("lon") / width(F.col("band"))))
-    ask = stops.withColumn("band", F.explode(F.sequence(F.floor(F.col("lat") / degrees) - 1, F.floor(F.col("lat") / degrees) + 1)))
-    ask = ask.withColumn("cell", F.explode(F.sequence(F.floor((F.col("lon") - width(F.col("band"))) / width(F.col("band"))), F.floor((F.col("lon") + width(F.col("band"))) / width(F.col("band"))))))
-    near = ask.alias("a").join(home.alias("b"), ["band", "cell"]).where("a.stop_id <> b.stop_id")
+    angle = most_ms / 3600000 * kmh * 1000 / EARTH_RADIUS_M
+    degrees = math.degrees(angle) * 1.0001
+    # The farthest longitude within reach of a latitude; all of them where the pole is.
+    narrow = lambda band: F.cos(F.radians(F.greatest(F.abs(band * degrees), F.abs((band + 1) * degrees))))
+    width = lambda band: F.when(narrow(band) > math.sin(angle) * 1.0001, F.degrees(F.asin(math.sin(angle) / F.greatest(narrow(band), F.lit(1e-9)))) * 1.0001).otherwise(360.0)
+    round_ = F.pmod(F.col("lon") + 180, F.lit(360.0))
+    band = F.floor(F.col("lat") / degrees)
+    home = stops.withColumn("band", band).withColumn("cell", F.floor(round_ / width(F.col("band"))))
+    ask = stops.withColumn("band", F.explode(F.sequence(band - 1, band + 1))).withColumn("_w", width(F.col("band")))
+    at = lambda x: F.floor(F.pmod(x, F.lit(360.0)) / F.col("_w"))
+    # The last cell of a band may be narrow: where the date line is in reach, both cells beside it are asked.
+    beside = F.when((round_ - F.col("_w") < 0) | (round_ + F.col("_w") >= 360), F.array(F.lit(0).cast("long"), F.floor(F.lit(359.9999999) / F.col("_w"))))
+    cells = F.concat(F.array(at(round_ - F.col("_w")), at(round_), at(round_ + F.col("_w"))), F.coalesce(beside, F.array().cast("array<bigint>")))
+    near = ask.withColumn("cell", F.explode(F.array_distinct(cells))).alias("a").join(home.alias("b"), ["band", "cell"]).where("a.stop_id <> b.stop_id")
     metres = haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     return near.select(F.col("a.stop_id").alias("from_stop"), F.col("b.stop_id").alias("to_stop"), travel_ms(metres, kmh).alias("duration_ms")).where(F.col("duration_ms") <= most_ms)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perron.functions.transit import DAYS, gtfs_time_ms, trips_per_year
+from perron.functions.transit import DAYS, gtfs_time_ms, parse_stop, stop_name, trips_per_year
 from perron.operators import calendar, clustering, network, patterns, raptor
 from perron.operators.components import connected_components
 from perron.operators.prefix import prefix_sums
@@ -18,6 +18,7 @@ ORIGINS = (0, 37, 73)
 HOUR = 3600 * 1000
 WEEK = 7 * 24 * HOUR
 LATEST = 20 * HOUR
+MERGES = 4
 RANGE_FROM, TARGETS = 37, (5, 50, 95)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,12 +40,21 @@ def timetable_stop_times(spark: SparkSession, d: str) -> DataFrame:
     return events_timetable(spark, d).stop_times
 
 
+def line_ids(spark: SparkSession, d: str) -> DataFrame:
+    return network.line_ids(events_timetable(spark, d, True).stop_times)
+
+
+def line_visit_index(spark: SparkSession, d: str) -> DataFrame:
+    return network.line_visit_index(events_timetable(spark, d, True).stop_times)
+
+
 def line_progressions(spark: SparkSession, d: str) -> DataFrame:
     return network.line_progressions(events_timetable(spark, d, True).stop_times)
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    return network.lines(events_timetable(spark, d, True).stop_times)
+    found = network.lines(events_timetable(spark, d, True).stop_times)
+    return found.select("line_key", F.array_join("stops", ",").alias("stops"), "trips")
 
 
 def expanded_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -128,6 +138,29 @@ def cluster_sub_timetable(spark: SparkSession, d: str) -> DataFrame:
     return count(st, "n_stop_times").join(count(trips, "n_trips"), "cluster_id").join(count(services, "n_services"), "cluster_id")
 
 
+def merged_clusters(spark: SparkSession, d: str) -> DataFrame:
+    t = events_timetable(spark, d)
+    return clustering.merge_clusters(network.stop_adjacency(t.stop_times, t.trips, t.services), 100 - MERGES)
+
+
+def cluster_patterns(spark: SparkSession, d: str) -> DataFrame:
+    t = events_timetable(spark, d)
+    found = clustering.process_clusters(t, _clusters(t.stops), 0, WEEK)["patterns"]
+    return found.select("cluster_id", "start", F.array_join("intermediates", ">").alias("intermediates"), "target")
+
+
+def stop_clusters_left(spark: SparkSession, d: str) -> DataFrame:
+    """Every visit of a line with its stop's cluster, null where the stop has none."""
+    t = events_timetable(spark, d)
+    some = _clusters(t.stops).where("cluster_id < 3")
+    return network.line_progressions(t.stop_times).join(some, "stop_id", "left")
+
+
+def stop_names(spark: SparkSession, d: str) -> DataFrame:
+    shown = events_timetable(spark, d).stops.select("stop_id", stop_name(F.col("stop_id")).alias("name"))
+    return shown.withColumn("parsed", parse_stop(F.col("name")))
+
+
 def dataset_stats(spark: SparkSession, d: str) -> DataFrame:
     t = events_timetable(spark, d)
     c = _clusters(t.stops).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster_id").alias("m"))
@@ -228,7 +261,7 @@ QUERIES: dict[str, Query] = {
         walk_edges, used_stops, line_geometry, hops, long_distance_stations, border_stations, stop_adjacency_weighted, service_trips_per_year, merge_score_top1,
         cluster_sub_timetable, dataset_stats, earliest_arrival_k2, earliest_arrival_all, earliest_arrival_to, latest_departure, range_all, range_departures, range_json,
         transfer_patterns, transfer_pattern_graph, long_walk_components, kmeans_clusters, gaussian_clusters, dbscan_clusters,
-        optics_clusters, service_days, dated_stop_times, pattern_arrivals,
+        optics_clusters, service_days, dated_stop_times, pattern_arrivals, line_ids, line_visit_index, merged_clusters, cluster_patterns, stop_clusters_left, stop_names,
     )
 }
 
@@ -246,7 +279,7 @@ def _base(few: bool) -> str:
     stops AS (SELECT DISTINCT stop_id, 48.0::DOUBLE + (stop_id // 10) * 0.01::DOUBLE AS lat, 9.0::DOUBLE + (stop_id % 10) * 0.01::DOUBLE AS lon FROM st),
     trips AS (SELECT DISTINCT {_TRIP} AS trip_id, CAST(user_id % 7 AS INTEGER) AS service_id FROM events),
     services AS (SELECT DISTINCT service_id, {weekdays} FROM trips),
-    tl AS (SELECT trip_id, string_agg(stop_id || '@' || stop_sequence, ',' ORDER BY stop_sequence) AS line_key FROM st GROUP BY trip_id),
+    tl AS (SELECT trip_id, md5(string_agg(stop_id || '@' || stop_sequence, ',' ORDER BY stop_sequence)) AS line_key, string_agg(stop_id, ',' ORDER BY stop_sequence) AS stops FROM st GROUP BY trip_id),
     lp AS (SELECT DISTINCT line_key, stop_id, stop_sequence FROM tl JOIN st USING (trip_id))
     """
 
@@ -304,6 +337,13 @@ def oracle_sql() -> dict[str, str]:
         core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 4), link AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
         r AS (SELECT a AS node, a AS reach FROM core UNION SELECT r.node, link.b FROM r JOIN link ON link.a = r.reach), comp AS (SELECT node, min(reach) AS c FROM r GROUP BY 1),
         edge AS (SELECT b AS stop_id, min(c) AS c FROM near JOIN comp ON node = a GROUP BY 1)"""
+    # Each step relabels the better-scored pair of neighbouring clusters by the smaller of the two names.
+    merges = ["m0 AS (SELECT DISTINCT s AS stop_id, s AS c FROM (SELECT stop_a AS s FROM adj UNION SELECT stop_b FROM adj))"]
+    for k in range(MERGES):
+        merges.append(f"""z{k} AS (SELECT c, count(*)::DOUBLE AS n FROM m{k} GROUP BY c), g{k} AS (SELECT a.c AS a, b.c AS b, sum(weight) AS w FROM adj JOIN m{k} a ON a.stop_id = stop_a JOIN m{k} b ON b.stop_id = stop_b WHERE a.c <> b.c GROUP BY 1, 2 HAVING sum(weight) > 0),
+        b{k} AS (SELECT a, b FROM g{k} JOIN z{k} x ON x.c = a JOIN z{k} y ON y.c = b ORDER BY (1 / x.n) * (1 / y.n) * (w / sqrt(x.n) + w / sqrt(y.n)), a, b LIMIT 1),
+        m{k + 1} AS MATERIALIZED (SELECT stop_id, CAST(coalesce((SELECT least(a, b) FROM b{k} WHERE greatest(a, b) = c), c) AS INTEGER) AS c FROM m{k})""")
+    merges = ", ".join(merges)
     running = f"""sd AS (SELECT service_id, CAST(day AS DATE) AS date FROM services, generate_series(DATE '{{}}', DATE '{{}}', INTERVAL 1 DAY) g(day)
         WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-12-31' AND [{", ".join(DAYS)}][isodow(day)])"""
     dense = f"""near AS (SELECT * FROM (SELECT a.stop_id AS a, b.stop_id AS b, {hav.format(a='a.', b='b.')} AS m FROM stops a JOIN stops b ON a.stop_id <> b.stop_id) WHERE m <= 1200),
@@ -313,7 +353,15 @@ def oracle_sql() -> dict[str, str]:
     cl = "cl AS (SELECT stop_id, CAST(stop_id // 25 AS INTEGER) AS cluster_id FROM stops)"
     return {
         "timetable_stop_times": f"{many} SELECT * FROM st",
-        "lines": f"{few} SELECT line_key, count(*) AS trips FROM tl GROUP BY 1",
+        "lines": f"{few} SELECT line_key, stops, count(*) AS trips FROM tl GROUP BY 1, 2",
+        "line_ids": f"{few} SELECT line_key, CAST(row_number() OVER (ORDER BY line_key) - 1 AS INTEGER) AS line_id FROM (SELECT DISTINCT line_key FROM tl)",
+        "line_visit_index": f"{few} SELECT line_key, stop_id, stop_sequence, CAST(row_number() OVER (PARTITION BY line_key, stop_id ORDER BY stop_sequence) - 1 AS INTEGER) AS visit_idx FROM lp",
+        "merged_clusters": f"{many}, {adj}, {merges} SELECT stop_id, c AS cluster_id FROM m{MERGES}",
+        "cluster_patterns": f"""{many}, {walks}, {cl}, cst AS (SELECT trip_id * 1000 + cluster_id AS trip_id, stop_id, stop_sequence, arrival_time, departure_time FROM st JOIN cl USING (stop_id)),
+            cwalks AS (SELECT walks.* FROM walks JOIN cl a ON a.stop_id = from_stop JOIN cl b ON b.stop_id = to_stop WHERE a.cluster_id = b.cluster_id), {_rounds(probes.format(at=0, to=WEEK, onward=onward.replace(" st ", " cst "), which="true"), ROUNDS, "cst", "cwalks")}
+            SELECT DISTINCT cluster_id, query_id.stop AS start, array_to_string(path[2:], '>') AS intermediates, a.stop_id AS target FROM a{ROUNDS} a JOIN cl ON cl.stop_id = query_id.stop WHERE len(legs) > 0 AND departure <= {WEEK}""",
+        "stop_clusters_left": f"{many}, {cl} SELECT line_key, stop_id, stop_sequence, cluster_id FROM lp LEFT JOIN (FROM cl WHERE cluster_id < 3) USING (stop_id)",
+        "stop_names": f"{many} SELECT stop_id, 's:' || stop_id AS name, stop_id AS parsed FROM stops",
         "line_progressions": f"{few} SELECT * FROM lp",
         "expanded_lines": f"{few} SELECT line_key, trip_id, stop_id, arrival_time, departure_time, stop_sequence FROM tl JOIN st USING (trip_id)",
         "stop_incidence": f"{few} SELECT stop_id, string_agg(line_key || '/' || stop_sequence, ';' ORDER BY line_key || '/' || stop_sequence) AS incidences FROM lp GROUP BY 1",

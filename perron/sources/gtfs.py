@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 import zipfile
+from itertools import islice
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from perron.functions.transit import DAYS, gtfs_time_ms, service_date
 from perron.operators.prefix import prefix_sums
+from perron.sources.config import Config, Dataset
 from perron.sources.events_timetable import Timetable
-from perron.staging import shared_dir
+from perron.staging import delete, run_dir, stage
 
 REQUIRED = ("calendar", "stops", "trips", "stop_times")
 
@@ -26,20 +31,26 @@ class InvalidFeed(Exception):
     """A feed has values that cannot be read."""
 
 
-def fetch(location: str, folder: str) -> str:
-    """A feed's local path: a URL is downloaded to ``folder``, a path is passed through."""
+class UnsupportedFormat(Exception):
+    """A dataset has a format that isn't imported."""
+
+
+def fetch(location: str, folder: str, headers: dict[str, str] | None = None) -> str:
+    """A feed's local path: a URL is downloaded to ``folder`` (with the given headers), a path is passed through."""
     if "://" not in location:
         return location
     import urllib.request
 
     target = str(Path(folder) / f"{uuid.uuid4().hex}.zip")
-    urllib.request.urlretrieve(location, target)
+    request = urllib.request.Request(location, headers=headers or {})
+    with urllib.request.urlopen(request) as response, open(target, "wb") as out:
+        shutil.copyfileobj(response, out)
     return target
 
 
 def extract(spark: SparkSession, path: str) -> dict[str, str]:
     """The feed's tables as files in the shared folder, which executors can read."""
-    target = f"{shared_dir(spark)}/gtfs-{uuid.uuid4().hex}"
+    target = f"{run_dir(spark)}/gtfs-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     fs = jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     with zipfile.ZipFile(path) as z, tempfile.TemporaryDirectory() as local:
@@ -53,9 +64,13 @@ def extract(spark: SparkSession, path: str) -> dict[str, str]:
 
 
 def import_gtfs(spark: SparkSession, path: str, dataset_id: str) -> dict[str, DataFrame]:
-    """The four tables of a feed with typed columns, tagged with the dataset. All columns are read as
-    strings by the header and cast by name; other columns fall away."""
-    files = extract(spark, path)
+    """The four tables of a feed with typed columns, tagged with the dataset."""
+    return import_tables(spark, extract(spark, path), dataset_id)
+
+
+def import_tables(spark: SparkSession, files: dict[str, str], dataset_id: str) -> dict[str, DataFrame]:
+    """The same from extracted files. All columns are read as strings by the header and cast by name;
+    other columns fall away."""
     raw = {t: spark.read.csv(f, header=True, encoding="UTF-8", mode="PERMISSIVE") for t, f in files.items()}
     tag = F.lit(dataset_id).alias("dataset_id")
     return {
@@ -120,21 +135,73 @@ def simplify(feed: dict[str, DataFrame]) -> Timetable:
 
 def preprocess(spark: SparkSession, locations: dict[str, str]) -> Timetable:
     """Fetch, import, validate, merge, simplify; invalid datasets are skipped."""
-    with tempfile.TemporaryDirectory() as folder:
-        feeds = [import_gtfs(spark, fetch(location, folder), dataset) for dataset, location in locations.items()]
-    valid = [f for f in feeds if not validation_report(f).where("rows > 0").limit(1).count()]
-    return simplify(merge(valid))
+    return preprocess_config(spark, Config(tuple(Dataset(i, x) for i, x in locations.items()), {}))
+
+
+def preprocess_config(spark: SparkSession, config: Config, folder: str | None = None) -> Timetable:
+    """The timetable of a configuration's datasets.
+
+    A dataset is fetched with its headers, imported, validated unless the configuration turns that
+    off, and skipped if it lacks a table or breaks a rule; no valid dataset at all is an error, as is
+    a format other than gtfs. With ``folder`` the four tables are written there as Parquet, else to
+    the shared folder. Downloads and extracted files are removed whether it succeeds or not.
+    """
+    if odd := [d.id for d in config.datasets if d.format != "gtfs"]:
+        raise UnsupportedFormat(", ".join(odd))
+    extracted: list[str] = []
+    try:
+        feeds = []
+        with tempfile.TemporaryDirectory() as local:
+            for d in config.datasets:
+                try:
+                    files = extract(spark, fetch(d.location, local, d.headers))
+                except MissingFile:
+                    continue
+                extracted.append(files["stops"].rpartition("/")[0])
+                feeds.append(import_tables(spark, files, d.id))
+        valid = [f for f in feeds if not config.validate or not validation_report(f).where("rows > 0").limit(1).count()]
+        found = simplify(merge(valid))
+        tables = {n: getattr(found, n) for n in ("stops", "trips", "services", "stop_times")}
+        if folder is None:
+            return Timetable(**{n: stage(df, n) for n, df in tables.items()})
+        for n, df in tables.items():
+            write_table(df, f"{folder}/{n}.parquet")
+        return Timetable(**{n: spark.read.parquet(f"{folder}/{n}.parquet") for n in tables})
+    finally:
+        for path in extracted:
+            delete(spark, path)
+
+
+def read_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with a header, its types inferred."""
+    return spark.read.csv(path, header=True, inferSchema=True)
+
+
+IPC_ROWS = 10_000
+
+
+def _write_ipc(df: DataFrame, path: str, schema: pa.Schema) -> None:
+    """Rows come to the driver a partition at a time and are written in batches, so its memory is bounded
+    by a partition, not by the table."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    rows = df.toLocalIterator()
+    with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, schema) as w:
+        while part := [r.asDict(recursive=True) for r in islice(rows, IPC_ROWS)]:
+            w.write_batch(pa.RecordBatch.from_pylist(part, schema=schema))
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Parquet, CSV (with header) or Arrow IPC (collected: for tables of viewer size)."""
+    """Parquet or CSV (with header), in folders by the columns of ``partition_by``, or one Arrow IPC file."""
     if kind == "ipc":
-        import pyarrow as pa
-
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        table = df.toArrow()
-        with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, table.schema) as w:
-            w.write_table(table)
-        return
+        return _write_ipc(df, path, to_arrow_schema(df.schema))
     writer = df.write.mode("overwrite").partitionBy(*(partition_by or []))
     writer.parquet(path) if kind == "parquet" else writer.option("header", True).csv(path)
+
+
+def write_lines(df: DataFrame, path: str, points: str = "points") -> None:
+    """An Arrow IPC file of line strings: ``points(lon, lat)`` becomes the column ``geometry`` of x and y,
+    marked as the GeoArrow extension type; other columns stay."""
+    shaped = df.select(*[F.col(f"`{c}`") for c in df.columns if c != points], F.transform(points, lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).alias("geometry"))
+    plain = to_arrow_schema(shaped.schema)
+    line = pa.field("geometry", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])), metadata={"ARROW:extension:name": "geoarrow.linestring", "ARROW:extension:metadata": "{}"})
+    _write_ipc(shaped, path, plain.set(plain.get_field_index("geometry"), line))
