@@ -202,13 +202,13 @@ def components_of(docs: DataFrame, nodes: DataFrame, ngram: int, percent: int) -
     if not links.limit(1).count():
         components = stage(nodes.select("node", F.col("node").alias("component")).limit(0), "labels")
     else:
-        components = connected_components(links)
+        components = connected_components(links, smallest=False)
     more = outsider_pairs(shared, sets, components, percent)
     met = linked_pairs(more, sets, percent).join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     met = stage(met, "links")
     if met.limit(1).count():
         # Only the components that these links join are renamed; single nodes are their own.
-        joined = connected_components(met).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        joined = connected_components(met, smallest=False).select(F.col("node").alias("component"), F.col("component").alias("whole"))
         every = components.unionByName(met.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(components, "node", "left_anti").select("node", F.col("node").alias("component")))
         components = stage(every.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "labels")
     discard(shared, ask, wanted, sets, more)
