@@ -73,26 +73,24 @@ def with_counts(docs: DataFrame, repeats: bool = True) -> DataFrame:
     if repeats:
         df = df.withColumn("q_lines", F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != ""))
         df = df.withColumn("q_n_dup_lines", (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long")).drop("q_lines")
-        # Windows of three words as longs, hash above and place below (as many bits as places need), sorted: equal
-        # neighbours mark the places of repeated windows. Where the hash bits that are left are equal and the words
-        # are not, the text's windows are sorted by their words instead.
+        # Windows of three words as hashes. Only where two are equal they are sorted, hash above and place below (as many
+        # bits as places need): equal neighbours mark the places of repeated windows. Where the hash bits that are left
+        # are equal and the words are not, the marked windows are sorted by their words instead.
         df = df.withColumn("q_place", F.expr("shiftleft(1L, cast(ceil(log2(greatest(size(q_words), 2))) as int)) - 1"))
-        df = df.withColumn(
-            "q_windows",
-            F.expr("if(size(q_words) < 4, cast(array() as array<bigint>), sort_array(transform(slice(q_words, 1, size(q_words) - 2), (w, i) -> (xxhash64(w, q_words[i + 1], q_words[i + 2]) & ~q_place) | i)))"),
-        )
+        df = df.withColumn("q_hashes", F.expr("if(size(q_words) < 4, cast(array() as array<bigint>), transform(slice(q_words, 1, size(q_words) - 2), (w, i) -> xxhash64(w, q_words[i + 1], q_words[i + 2])))"))
+        df = df.withColumn("q_windows", F.expr("if(size(array_distinct(q_hashes)) = size(q_hashes), cast(array() as array<bigint>), sort_array(transform(q_hashes, (h, i) -> (h & ~q_place) | i)))"))
         window = "array_join(slice(q_words, cast({0} & q_place as int) + 1, 3), ' ')"
-        bits = "(x | q_place) = (coalesce(get(q_windows, i {o} 1), ~x) | q_place)"
-        same = f"{window.format('x')} = {window.format('q_windows[i {o} 1]')}"
-        df = df.withColumn("q_marked", F.expr(f"filter(q_windows, (x, i) -> {bits.format(o='+')} OR {bits.format(o='-')})"))
-        df = df.withColumn("q_mixed", F.expr(f"exists(filter(transform(q_windows, (x, i) -> {bits.format(o='+')} AND NOT {same.format(o='+')}), y -> y), y -> y)"))
+        bits = "(x | q_place) = (coalesce(get({a}, i {o} 1), ~x) | q_place)"
+        same = f"{window.format('x')} = {window.format('q_marked[i + 1]')}"
+        df = df.withColumn("q_marked", F.expr(f"filter(q_windows, (x, i) -> {bits.format(a='q_windows', o='+')} OR {bits.format(a='q_windows', o='-')})"))
+        df = df.withColumn("q_mixed", F.expr(f"exists(transform(q_marked, (x, i) -> {bits.format(a='q_marked', o='+')} AND NOT {same}), y -> y)"))
         by_words = f"sort_array(transform(q_marked, x -> named_struct('w', {window.format('x')}, 'p', x & q_place)))"
         twice = f"transform(array({by_words}), s -> transform(filter(s, (x, i) -> x.w <=> get(s, i + 1).w OR x.w <=> get(s, i - 1).w), x -> x.p))[0]"
         df = df.withColumn("q_places", F.expr(f"sort_array(if(q_mixed, {twice}, transform(q_marked, x -> x & q_place)))"))
         df = df.withColumn(
             "q_n_repeat_words",
             F.expr("aggregate(q_places, named_struct('n', 0L, 'last', -3L), (a, p) -> named_struct('n', a.n + least(3L, p - a.last), 'last', p), a -> a.n)"),
-        ).drop("q_windows", "q_places", "q_place", "q_marked", "q_mixed")
+        ).drop("q_hashes", "q_windows", "q_places", "q_place", "q_marked", "q_mixed")
     space = "q_chars - q_word_chars"
     # White space is ASCII, so the classes add up to all characters.
     rest = "q_word_chars - q_upper - q_digit - q_n_symbols - q_punct - q_nonascii"
