@@ -42,6 +42,17 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def ordered_sums(df: DataFrame, keys: list[str], sums: list[str], index: str) -> DataFrame:
+    """``prefix_sums`` of a table of one row a source: where there are few (counted first), in one partition."""
+    df = stage(df, "sources")
+    if df.count() > BROADCAST_ROWS:
+        return prefix_sums(df, keys, sums, index)
+    line = Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys])
+    before, whole = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    added = [F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long").alias(f"{c}_before") for c in sums] + [F.coalesce(F.sum(c).over(whole), F.lit(0)).cast("long").alias(f"{c}_total") for c in sums]
+    return df.select("*", (F.row_number().over(line) - 1).cast("long").alias(index), *added)
+
+
 def source_targets(sizes: DataFrame, pattern: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """Targets per source from ``sizes(source, source_size)``.
 
@@ -52,18 +63,17 @@ def source_targets(sizes: DataFrame, pattern: tuple[int, ...] = (1, 2, 3), most:
     from there on stay below their caps.
     """
     n = len(pattern)
-    ranked = prefix_sums(
+    ranked = ordered_sums(
         sizes.select("source", "source_size", F.col("source").isNull().alias("_last")).where("source_size is not null"),
         ["_last", "source"], [], "_rank",
     )
     weights = F.array(*[F.lit(w) for w in pattern])
-    ratio = stage(
+    ratio = (
         ranked.withColumn("weight", F.element_at(weights, (F.col("_rank") % n + 1).cast("int")).cast("long"))
         .withColumn("cap", F.col("source_size") * most)
-        .withColumn("_ratio", F.col("cap") / F.col("weight")),
-        "weights",
+        .withColumn("_ratio", F.col("cap") / F.col("weight"))
     )
-    line = prefix_sums(ratio, ["_ratio", "_rank"], ["cap", "weight", "source_size"], "_i")
+    line = ordered_sums(ratio, ["_ratio", "_rank"], ["cap", "weight", "source_size"], "_i")
     level = (F.col("source_size_total") - F.col("cap_before")) / (F.col("weight_total") - F.col("weight_before"))
     line = stage(line.withColumn("_level", level), "levels")
     # The first source in this order that its level leaves below its cap; there always is one, or all sizes are 0.
@@ -81,7 +91,7 @@ def schedule_slots(targets: DataFrame, slots: int = SLOTS, block: int = BLOCK) -
     weights holds it. Stretches are found through a grid of equal cells, an equi-join.
     """
     spark = targets.sparkSession
-    line = prefix_sums(targets.withColumn("_t", F.ceil("target").cast("long")).withColumn("_null", F.col("source").isNull()), ["_null", "source"], ["_t"], "_i")
+    line = ordered_sums(targets.withColumn("_t", F.ceil("target").cast("long")).withColumn("_null", F.col("source").isNull()), ["_null", "source"], ["_t"], "_i")
     line = stage(line, "stretches")
     head = line.agg(F.coalesce(F.max("_t_total"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
     total, words = int(head[0]), int(head[1])
