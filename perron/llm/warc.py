@@ -198,10 +198,15 @@ def archive_pages(pages: DataFrame, date: str = "20260101000000", version: int =
         .groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     )
     first = stage(first, "repeated-payloads")
+    takes_part = (keyed["_size"] >= least) & keyed["page_id"].isNotNull()
     if first.count() <= BROADCAST_ROWS:
-        first = F.broadcast(first)
-    # A null page_id takes no part, but keeps its row.
-    joined = keyed.join(first, (keyed["_digest"] == first["_digest"]) & (keyed["_size"] >= least) & keyed["page_id"].isNotNull(), "left")
+        # A null page_id takes no part, but keeps its row.
+        joined = keyed.join(F.broadcast(first), (keyed["_digest"] == first["_digest"]) & takes_part, "left")
+    else:
+        # A payload may be that of very many pages: only narrow rows meet by digest, pages meet theirs by id.
+        narrow = keyed.where(takes_part).select("page_id", "_digest").distinct()
+        matched = stage(narrow.join(first, "_digest").where("page_id <> _first").select(F.col("page_id").alias("_id"), F.col("_digest").alias("_same"), "_first"), "revisits")
+        joined = keyed.join(matched, (keyed["page_id"] == matched["_id"]) & (keyed["_digest"] == matched["_same"]), "left")
     rows = joined.select("page_id", "url", "payload", F.when(F.col("_first") != F.col("page_id"), F.col("_first")).alias("_first"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -167,8 +167,10 @@ def test_packing(odd):
         assert at <= 64
 
 
-@pytest.mark.parametrize("version", [1, 2])
-def test_warc(spark, version):
+@pytest.mark.parametrize("version, most", [(1, 50_000), (2, 50_000), (1, 0)])
+def test_warc(spark, monkeypatch, version, most):
+    """Both versions of archives, and both ways to find a payload's first page."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
     big = "x" * 200
     pages = [(3, "http://a b/", big), (1, "http://b/", big), (2, None, ""), (4, "u", None), (None, "n", big), (5, "q", "1 0 x\nWARC/1.1\r\n\r\n" + "é" * 60)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
