@@ -79,8 +79,8 @@ def test_all_stops_and_clusters(spark, tmp_path):
     rows = [(i, f"2024-01-01 {8 + i:02}:00:00", 1, "view", f'{{"k": {stop}}}') for i, stop in enumerate((10, 54, 60))]
     spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, props string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
     found = lambda name: sorted(r["stop_id"] for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
-    assert found("border_stations_all") == [10, 54]
-    assert found("used_stops_all") == [10, 54, 60]
+    assert found("border_stations") == [10, 54]
+    assert found("used_stops") == [10, 54, 60]
 
 
 def test_gaussian_restarts(spark, monkeypatch):
@@ -122,7 +122,7 @@ def test_feed(spark, tmp_path):
         gtfs.import_gtfs(spark, str(tmp_path / "g.zip"), "g")
 
 
-@pytest.mark.parametrize("name", ["lines", "direct_lines", "stop_incidence", "walk_edges", "border_stations", "stop_adjacency_weighted", "earliest_arrival_k2"])
+@pytest.mark.parametrize("name", ["lines", "direct_lines", "stop_incidence", "walk_edges", "border_stations", "stop_adjacency_weighted", "earliest_arrival_k2", "earliest_arrival_to", "latest_departure", "range_all", "range_json", "transfer_pattern_graph", "cluster_patterns", "merged_clusters", "line_ids", "line_visit_index", "dbscan_clusters", "used_stops"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
