@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from perron.llm.textkernel import chunks, mixed, shingles, word_hashes
 from perron.operators.components import connected_components
-from perron.plans.late import fresh
+from perron.plans.names import fresh
 from perron.session import bound_arrow_batches
 from perron.staging import discard, stage
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perron.operators.prefix import prefix_sums
-from perron.plans.late import fresh
+from perron.plans.names import fresh
 from perron.staging import discard, stage
 
 #: 2**32 / golden ratio, odd: j * STEP mod 2**32 is the golden-ratio sequence on a 32-bit circle.

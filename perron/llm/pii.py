@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perron.plans.late import fresh
+from perron.plans.names import fresh
 
 # The countries of the IBAN registry and the lengths of their numbers.
 IBAN_LENGTHS = (
