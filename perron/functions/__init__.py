@@ -1 +1 @@
-"""See the package README for an overview of this layer."""
+"""Column functions of the timetable domain, and comparison of frames."""

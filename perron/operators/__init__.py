@@ -1 +1 @@
-"""See the package README for an overview of this layer."""
+"""Operators over timetables, and running sums and components that all layers use."""

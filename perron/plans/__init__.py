@@ -1 +1 @@
-"""See the package README for an overview of this layer."""
+"""Helpers for building plans over frames of unknown columns."""

@@ -1 +1 @@
-"""See the package README for an overview of this layer."""
+"""Feeds, their configuration and sinks, and a timetable over the events table."""
