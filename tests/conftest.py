@@ -12,6 +12,6 @@ from perron.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cpus=4, partitions=4, memory="4g")
+    session = local_session(cpus=8, partitions=2, memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
